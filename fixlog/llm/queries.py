@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_rules, sharding
+from . import host_rules, license_rules, packing, sharding, token_files
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file, the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +28,20 @@ def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.recognise(_documents(spark, sf_dir))
 
 
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(_documents(spark, sf_dir))
+
+
+def op7_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=1, length=2048)
+
+
+def op8_ranked_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_minimax_shards, op5_license_rules]
+    found = [op3_host_rules, op4_minimax_shards, op5_license_rules, op7_tournament_packing, op8_ranked_token_files]
     return {f.__name__: f for f in found}
 
 
