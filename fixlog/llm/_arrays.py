@@ -20,7 +20,7 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 _rng = np.random.default_rng(20240501)
-_TABLE = _rng.integers(0, 2**64, 256, dtype=U)
+_TABLES = _rng.integers(0, 2**64, (2, 256), dtype=U)
 _BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers = [np.ones(1, U), np.ones(1, U)]
@@ -51,16 +51,16 @@ class Texts:
 
     def __init__(self, buf: np.ndarray, at: np.ndarray, first: int):
         self.buf, self.at, self.first, self.n = buf, at, first, len(at) - 1
-        self._sums: np.ndarray | None = None
+        self._sums: dict[int, np.ndarray] = {}
 
-    def prints(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit fingerprints of the spans [start, end), equal for equal bytes."""
+    def prints(self, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+        """64-bit fingerprints of the spans [start, end), equal for equal bytes; lanes 0 and 1 are independent."""
         power, inverse = _grown(len(self.buf) + 1)
-        if self._sums is None:
+        if lane not in self._sums:
             sums = np.zeros(len(self.buf) + 1, U)
-            np.cumsum(_TABLE[self.buf] * power[: len(self.buf)], out=sums[1:])
-            self._sums = sums
-        raw = (self._sums[end] - self._sums[start]) * inverse[start]
+            np.cumsum(_TABLES[lane][self.buf] * power[: len(self.buf)], out=sums[1:])
+            self._sums[lane] = sums
+        raw = (self._sums[lane][end] - self._sums[lane][start]) * inverse[start]
         return mix(raw + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,3 +106,39 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Texts]:
         j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
         yield Texts(buf[at[i] : at[j]], at[i : j + 1] - at[i], i)
         i = j
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_SPREAD = np.random.default_rng(3).integers(0, 2**64, 64, dtype=U) | U(1)
+
+
+def lowered(t: Texts) -> Texts:
+    """The texts with A-Z in lower case."""
+    return Texts(LOWER[t.buf], t.at, t.first)
+
+
+def shingle_sets(t: Texts, width: int) -> list[np.ndarray]:
+    """For each text the sorted distinct fingerprints of its runs of ``width`` words.
+
+    A text with fewer words has its whole sequence as one; without words, none.
+    """
+    start, end, at = t.words()
+    word = t.prints(start, end)
+    n = len(word) - width + 1
+    runs = np.zeros(max(0, n), U)
+    for j in range(width if n > 0 else 0):
+        runs += word[j : j + n] * _SPREAD[j]
+    runs = mix(runs)
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a >= width:
+            out.append(np.unique(runs[a : b - width + 1]))
+        elif b > a:
+            whole = np.array([b - a], U)
+            for j in range(b - a):
+                whole += word[a + j : a + j + 1] * _SPREAD[j + 32]
+            out.append(mix(whole))
+        else:
+            out.append(np.zeros(0, U))
+    return out
