@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, decontaminate, host_rules, jaccard_join, language_id, license_rules, packing, sharding, token_files
+from . import chunk_dedup, decontaminate, host_rules, jaccard_join, language_id, license_rules, packing, sharding, substring_dedup, token_files
 
 
 def tokenizer(name: str) -> str:
@@ -36,6 +36,10 @@ def pages_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op2_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_documents(spark, sf_dir)).drop("kept")
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_documents(spark, sf_dir))
 
@@ -62,7 +66,7 @@ def op10_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_language_evidence, pages_language_evidence, op3_host_rules, op4_minimax_shards, op5_license_rules, op6_gear_chunks,
+        op1_language_evidence, pages_language_evidence, op2_bucket_refinement, op3_host_rules, op4_minimax_shards, op5_license_rules, op6_gear_chunks,
         op7_tournament_packing, op8_ranked_token_files, op9_combination_prefixes, op10_containment_search,
     ]
     return {f.__name__: f for f in found}
