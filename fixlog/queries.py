@@ -139,7 +139,7 @@ QUERIES: dict[str, Query] = {
     "mutual_even_odd": Query("even(X):-vertices(X,_),X==0;odd(Y):-even(X),vertices(Y,_),Y==X+1,X<14;even(Y):-odd(X),vertices(Y,_),Y==X+1;", "even", "x", "SELECT unnest(range(0, 15, 2)) AS x"),
     "same_generation": Query("s(X,Y):-edges(P,X),edges(P,Y);s(X,Y):-edges(P,X),s(P,Q),edges(Q,Y);", "s", "x y", "RECURSIVE s(x, y) AS (SELECT a.dst, b.dst FROM edges a JOIN edges b ON a.src = b.src UNION SELECT a.dst, b.dst FROM s JOIN edges a ON a.src = x JOIN edges b ON b.src = y) SELECT x, y FROM s", "nations"),
     # recursion: MIN and MAX
-    "cc_min": Query(P.CONNECTED_COMPONENTS, "l", "x l", _BEST.format(seed="id, id FROM vertices", step="SELECT src, d FROM (SELECT e.src, min(b.d) AS d FROM edges e JOIN best b ON b.x = e.dst GROUP BY e.src) c JOIN recurring.best o ON o.x = c.src WHERE c.d < o.d", out="x, d AS l"), "edges"),
+    "cc_min": Query(P.CONNECTED_COMPONENTS, "l", "x l", _BEST.format(seed="id, id FROM vertices", step="SELECT src, c.d FROM (SELECT e.src, min(b.d) AS d FROM edges e JOIN best b ON b.x = e.dst GROUP BY e.src) c JOIN recurring.best o ON o.x = c.src WHERE c.d < o.d", out="x, d AS l"), "edges"),
     "cc_weak": Query(P.CONNECTED_COMPONENTS, "l", "x l", _BEST.format(seed="id, id FROM vertices", step="SELECT src, c.d FROM (SELECT e.src, min(b.d) AS d FROM edges e JOIN best b ON b.x = e.dst GROUP BY e.src) c JOIN recurring.best o ON o.x = c.src WHERE c.d < o.d", out="x, d AS l"), "sparse"),
     "sssp_hops": Query(P.HOPS_FROM_SOURCE, "path", "x d", "RECURSIVE h(x, d) AS (SELECT 1::BIGINT, 0::BIGINT UNION SELECT dst, d + 1 FROM h JOIN edges ON src = x WHERE d < 12) SELECT x, min(d) AS d FROM h GROUP BY x", "edges"),
     "sssp_weighted": Query(P.SHORTEST_PATH, "path", "x z d", _BEST.format(seed="66::BIGINT, 0::BIGINT", step="SELECT src, c.d FROM (SELECT e.src, min(b.d + e.w) AS d FROM edges e JOIN best b ON b.x = e.dst GROUP BY e.src) c LEFT JOIN recurring.best o ON o.x = c.src WHERE o.x IS NULL OR c.d < o.d", out="x, 66::BIGINT AS z, d"), "edges"),
@@ -160,7 +160,7 @@ QUERIES: dict[str, Query] = {
     "udf_er_confidence": Query("p(A,B,ER_CONFIDENCE(A,B)):-lineitem(_,A,_,_,B,_);", "p", "a b m", f"SELECT DISTINCT {_L} AS a, l_quantity::BIGINT AS b, ({_L} + l_quantity::BIGINT) // 2 AS m FROM lineitem", tables="lineitem"),
     "udf_confidence": Query("p(A,B,Confidence(A,B)):-lineitem(_,A,_,_,B,_);", "p", "a b m", f"SELECT DISTINCT {_L} AS a, l_quantity::BIGINT AS b, (100 * greatest({_L}, l_quantity::BIGINT)) // ({_L} + l_quantity::BIGINT) AS m FROM lineitem", tables="lineitem"),
     "udf_labelmatch": Query("p(X,Y,LabelMatch(N,M)):-edges(X,Y,1),vertices(X,N),vertices(Y,M);", "p", "x y m", "SELECT DISTINCT src AS x, dst AS y, (a.label = b.label)::BIGINT AS m FROM edges JOIN vertices a ON a.id = src JOIN vertices b ON b.id = dst WHERE w = 1", "edges"),
-    "udf_match": Query("p(A,B,Match(A,B)):-part(_,A,_,_),part(_,B,_,_);", "p", "a b m", "SELECT a, b, list_sum(list_transform(range(1, len(a) + 1), lambda i: (a[i] = b[i])::BIGINT))::BIGINT * 1000 // len(a) AS m FROM (SELECT DISTINCT p_brand AS a FROM part) x, (SELECT DISTINCT p_brand AS b FROM part) y", tables="part"),
+    "udf_match": Query("p(A,B,Match(SHINGLE(A,6),SHINGLE(B,6))):-customer(_,_,A),customer(_,_,B);", "p", "a b m", "WITH s AS (SELECT DISTINCT c_mktsegment AS a, rpad(array_to_string(list_sort(list_distinct(string_split(c_mktsegment, '')))[1:6], ''), 6, chr(0)) AS k FROM customer) SELECT x.a, y.a AS b, list_sum(list_transform(range(1, 7), lambda i: (x.k[i] = y.k[i])::BIGINT))::BIGINT * 1000 // 6 AS m FROM s x, s y", tables="customer"),
     "udf_str_sim": Query("p(A,B,STR_SIM(A,B)):-customer(_,_,A),part(_,_,B,_);", "p", "a b m", "SELECT a, b, CASE WHEN a = b OR regexp_matches(a, '[0-9]$') OR regexp_matches(b, '[0-9]$') THEN 0 ELSE (greatest(len(a), len(b)) - levenshtein(a, b)) * 100 // greatest(len(a), len(b)) END::BIGINT AS m FROM (SELECT DISTINCT c_mktsegment AS a FROM customer) x, (SELECT DISTINCT p_type AS b FROM part) y", tables="customer part"),
     "udf_shingle": Query("p(A,SHINGLE(A,4)):-part(_,_,A,_);", "p", "a m", "SELECT DISTINCT p_type AS a, rpad(array_to_string(list_sort(list_distinct(string_split(p_type, '')))[1:4], ''), 4, chr(0)) AS m FROM part", tables="part"),
     # the same by other plans
