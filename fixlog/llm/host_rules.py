@@ -142,3 +142,27 @@ def judge(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(SALTS)).cast("int")).join(verdicts, ["host", "salt"])
     return rows.select("doc_id", *MEASURES, base.alias("base_failed"), (~base & (F.col("host_rate") <= limit)).alias("kept"), F.round("host_rate", 9).alias("host_rate"))
+
+
+def oracle(limit: float = LIMIT) -> str:
+    """DuckDB SQL for ``judge`` over ``documents``."""
+    word = "[^\\x20\\x09-\\x0D]"
+    tests = {"short": "n_words < 20", "repeats": "n_repeat_words * 100 > n_words * 30", "symbols": "n_symbols * 10 > word_chars * 3", "lines": "n_dup_lines * 100 > n_words * 5"}
+    fails = ", ".join(f"count(*) FILTER ({t}) AS f_{r}" for r, t in tests.items())
+    moments = ", ".join(f"sum(f_{r}) / sum(n) AS m_{r}, greatest(sum(f_{r} * f_{r} / n) / sum(n) - (sum(f_{r}) / sum(n)) ** 2, 0) AS v_{r}" for r in tests)
+    weights = ", ".join(f"least(greatest(CASE WHEN v_{r} > 1e-12 THEN m_{r} * (1 - m_{r}) / v_{r} - 1 ELSE {WEIGHTS[1]} END, {WEIGHTS[0]}), {WEIGHTS[1]}) AS w_{r}" for r in tests)
+    rate = ", ".join(f"(f_{r} + m_{r} * w_{r}) / (n + w_{r})" for r in tests)
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '{word}+') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{word}')) AS l FROM d),
+    wins AS (SELECT r, unnest(range(1, len(w) - {WINDOW - 2})) AS i, unnest(list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' '))) AS s FROM w WHERE len(w) >= {WINDOW}),
+    twice AS (SELECT r, i FROM wins JOIN (SELECT r, s FROM wins GROUP BY r, s HAVING count(*) > 1) USING (r, s)),
+    covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM twice) GROUP BY r),
+    m AS (SELECT r, doc_id, host, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered USING (r)),
+    h AS (SELECT host, count(*) AS n, {fails} FROM m GROUP BY host), mo AS (SELECT {moments} FROM h), we AS (SELECT *, {weights} FROM mo),
+    rates AS (SELECT host, greatest({rate}) AS host_rate FROM h, we)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+           NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND host_rate <= {limit} AS kept, round(host_rate, 9) AS host_rate
+    FROM m JOIN rates USING (host)
+    """

@@ -79,4 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_rules": license_rules.oracle(), "op10_containment_search": decontaminate.oracle()}
+    return {
+        "op3_host_rules": host_rules.oracle(),
+        "op5_license_rules": license_rules.oracle(),
+        "op9_combination_prefixes": jaccard_join.oracle(),
+        "op10_containment_search": decontaminate.oracle(),
+    }
