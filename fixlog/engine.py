@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +28,6 @@ class Result:
     strata: list[tuple[list[str], bool]]
     rounds: list[Round]
     sql: dict[str, list[str]]
-    held: list[DataFrame] = field(default_factory=list)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.relations[name]
@@ -42,11 +41,6 @@ class Result:
             lines += [f"  round {r.number}: {r.rows} rows, {r.seconds:.2f} s" for r in self.rounds if list(r.relations) == group]
         return "\n".join(lines)
 
-    def release(self) -> None:
-        """Frees what the rounds kept; results not yet written are computed again if read."""
-        for df in self.held:
-            df.unpersist()
-
 
 class Engine:
     """Holds relations and functions, and runs programs over them.
@@ -92,7 +86,6 @@ class Engine:
         order = strata(program)
         frames = dict(self.frames)
         rounds: list[Round] = []
-        held: list[DataFrame] = []
         groups = {n for n, a in aggregates.items() if a}
 
         def plan(rule: Rule) -> RulePlan:
@@ -105,14 +98,13 @@ class Engine:
                 loop = Fixpoint(self.spark, group, rules, plan, frames.__getitem__, aggregates, types, self.max_iterations)
                 frames |= loop.run()
                 rounds += loop.rounds
-                held += loop.held
                 continue
             (name,) = group
             parts = [named(plan(r).build([frames[a.name] for a in r.atoms]), types[name]) for r in rules]
             frames[name] = merge(parts, aggregates[name], single=all(r.aggregate for r in rules))
         columns = {n: [f"c{k}" for k in range(len(d.columns))] for n, d in frames.items()}
         sql = {h: [rule_sql(r, columns) for r in program.rules if r.head.name == h] for h in program.heads()}
-        return Result({h: self._titled(program, h, frames[h]) for h in program.heads()}, order, rounds, sql, held)
+        return Result({h: self._titled(program, h, frames[h]) for h in program.heads()}, order, rounds, sql)
 
     @staticmethod
     def _titled(program: Program, head: str, df: DataFrame) -> DataFrame:

@@ -142,6 +142,8 @@ class Fixpoint:
                         s.parts = [checkpoint(s.old()), s.delta]
                         s.n_old = 1
             self.rounds.append(Round(tuple(self.group), number, sum(s.rows for s in states.values()), time.time() - began))
+        for df in self.held:  # results stand in the checkpoint folder
+            df.unpersist()
         return {name: s.full() for name, s in states.items()}
 
     def _empty(self, name: str) -> DataFrame:

@@ -15,8 +15,6 @@ def run_on_stream(engine: Engine, name: str, stream: DataFrame, program: str, ou
 
     def batch(df: DataFrame, number: int) -> None:
         engine.register(name, df)
-        result = engine.run(program)
-        sink(result[out], number)
-        result.release()
+        sink(engine.run(program)[out], number)
 
     return stream.writeStream.foreachBatch(batch)
