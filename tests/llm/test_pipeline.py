@@ -19,7 +19,7 @@ from .test_jaccard_join import brute as brute_join
 def test_stages(spark, sample, tmp_path):
     docs = sample.toPandas()
     copy = docs.iloc[[3, 7, 9]].assign(doc_id=[1003, 1007, 1009])
-    odd = docs.iloc[[0, 1]].assign(doc_id=[2000, 2001], text=["¤¦▒▓ █░" * 20, None])
+    odd = docs.iloc[[0, 1]].assign(doc_id=[2000, 2001], text=["¤¦▒▓ █░" * 20, None], lang=None)
     given = spark.createDataFrame([*map(tuple, docs.itertuples(index=False)), *map(tuple, copy.itertuples(index=False)), *map(tuple, odd.itertuples(index=False))], sample.schema)
     given.write.parquet(str(tmp_path / "documents.parquet"))
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
