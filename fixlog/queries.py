@@ -18,8 +18,8 @@ GRAPHS = {
     "vertices": "SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS label FROM customer",
     "edges": _EDGES,
     "dag": f"SELECT DISTINCT greatest(src, dst) AS src, least(src, dst) AS dst, w FROM ({_EDGES}) g WHERE src <> dst",
-    "sparse": f"SELECT src, dst, w FROM ({_EDGES}) g WHERE w <= 8 UNION SELECT dst, src, w FROM ({_EDGES}) h WHERE w <= 8",
-    "nations": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, 1 AS w FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 1500 = 0",
+    "both_ways": f"SELECT src, dst, w FROM ({_EDGES}) g UNION SELECT dst, src, w FROM ({_EDGES}) h",
+    "nations": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, 1 AS w FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey",
 }
 #: Tables as relations: the columns taken, in order.
 TABLES = {
@@ -140,11 +140,11 @@ QUERIES: dict[str, Query] = {
     "same_generation": Query("s(X,Y):-edges(P,X),edges(P,Y);s(X,Y):-edges(P,X),s(P,Q),edges(Q,Y);", "s", "x y", "RECURSIVE s(x, y) AS (SELECT a.dst, b.dst FROM edges a JOIN edges b ON a.src = b.src UNION SELECT a.dst, b.dst FROM s JOIN edges a ON a.src = x JOIN edges b ON b.src = y) SELECT x, y FROM s", "nations"),
     # recursion: MIN and MAX
     "cc_min": Query(P.CONNECTED_COMPONENTS, "l", "x l", _BEST.format(seed="id, id FROM vertices", step="SELECT src, c.d FROM (SELECT e.src, min(b.d) AS d FROM edges e JOIN best b ON b.x = e.dst GROUP BY e.src) c JOIN recurring.best o ON o.x = c.src WHERE c.d < o.d", out="x, d AS l"), "edges"),
-    "cc_weak": Query(P.CONNECTED_COMPONENTS, "l", "x l", _BEST.format(seed="id, id FROM vertices", step="SELECT src, c.d FROM (SELECT e.src, min(b.d) AS d FROM edges e JOIN best b ON b.x = e.dst GROUP BY e.src) c JOIN recurring.best o ON o.x = c.src WHERE c.d < o.d", out="x, d AS l"), "sparse"),
+    "cc_weak": Query(P.CONNECTED_COMPONENTS, "l", "x l", _BEST.format(seed="id, id FROM vertices", step="SELECT src, c.d FROM (SELECT e.src, min(b.d) AS d FROM edges e JOIN best b ON b.x = e.dst GROUP BY e.src) c JOIN recurring.best o ON o.x = c.src WHERE c.d < o.d", out="x, d AS l"), "both_ways"),
     "sssp_hops": Query(P.HOPS_FROM_SOURCE, "path", "x d", "RECURSIVE h(x, d) AS (SELECT 1::BIGINT, 0::BIGINT UNION SELECT dst, d + 1 FROM h JOIN edges ON src = x WHERE d < 12) SELECT x, min(d) AS d FROM h GROUP BY x", "edges"),
     "sssp_weighted": Query(P.SHORTEST_PATH, "path", "x z d", _BEST.format(seed="66::BIGINT, 0::BIGINT", step="SELECT src, c.d FROM (SELECT e.src, min(b.d + e.w) AS d FROM edges e JOIN best b ON b.x = e.dst GROUP BY e.src) c LEFT JOIN recurring.best o ON o.x = c.src WHERE o.x IS NULL OR c.d < o.d", out="x, 66::BIGINT AS z, d"), "edges"),
     "sssp_mutual": Query(P.SHORTEST_PATH_MUTUAL, "shortest_path", "x z d", _BEST.format(seed="66::BIGINT, 0::BIGINT", step="SELECT src, c.d FROM (SELECT e.src, min(b.d + e.w) AS d FROM edges e JOIN best b ON b.x = e.dst GROUP BY e.src) c LEFT JOIN recurring.best o ON o.x = c.src WHERE o.x IS NULL OR c.d < o.d", out="x, 66::BIGINT AS z, d"), "edges"),
-    "label_max": Query("m(X,X):-vertices(X,_);m(X,MAX(L)):-edges(X,Y),m(Y,L);", "m", "x l", _BEST.format(seed="id, id FROM vertices", step="SELECT src, c.d FROM (SELECT e.src, max(b.d) AS d FROM edges e JOIN best b ON b.x = e.dst GROUP BY e.src) c JOIN recurring.best o ON o.x = c.src WHERE c.d > o.d", out="x, d AS l"), "sparse"),
+    "label_max": Query("m(X,X):-vertices(X,_);m(X,MAX(L)):-edges(X,Y),m(Y,L);", "m", "x l", _BEST.format(seed="id, id FROM vertices", step="SELECT src, c.d FROM (SELECT e.src, max(b.d) AS d FROM edges e JOIN best b ON b.x = e.dst GROUP BY e.src) c JOIN recurring.best o ON o.x = c.src WHERE c.d > o.d", out="x, d AS l"), "both_ways"),
     # recursion: SUM and COUNT
     "pathcount_dag": Query(P.PATHCOUNT, "pathcount", "x n", _REACH_DAG, "dag"),
     "walk_count_bounded": Query("w(X,0,1):-vertices(X,_),X==1;w(Y,I+1,COUNT(P)):-w(X,I,P),edges(X,Y),I<4;", "w", "x i n", "RECURSIVE w(x, i, n) AS (SELECT 1::BIGINT, 0::BIGINT, 1::BIGINT UNION ALL SELECT dst, i + 1, count(*) FROM w JOIN edges ON src = x WHERE i < 4 GROUP BY dst, i + 1) SELECT x, i, n FROM w", "edges"),
