@@ -35,7 +35,9 @@ BUCKETS = 1 << 16
 TEMPER = 6.0
 #: Rows of each declared language from which the model is fitted, in expectation.
 TRAIN_ROWS = 2000
-#: A declared language with a smaller share of the rows isn't modelled.
+#: A declared language is modelled from so many rows on, whatever its share of the corpus.
+MIN_ROWS = 20
+#: With fewer rows it is modelled if it has this share of them, as in small tables.
 MIN_SHARE = 0.005
 #: Rows' worth of the parent's share in a suffix's or a host's.
 STRENGTH = 20.0
@@ -66,40 +68,40 @@ def trigrams(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def _counts(index: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(index), BUCKETS), np.int64)
         for batch in batches:
             langs = batch["declared"].to_pylist()
             for t in chunks(batch["text"]):
                 bucket, inside = trigrams(t)
                 own = np.repeat([index[langs[t.first + i]] for i in range(t.n)], np.diff(t.at))
-                sums += np.bincount((own * BUCKETS + bucket)[inside], minlength=sums.size).reshape(sums.shape)
-        lang, bucket = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(sums[lang, bucket])], names=["lang", "bucket", "n"])
+                # only what occurs: a dense table would grow with the number of languages
+                pairs, n = np.unique((own * BUCKETS + bucket)[inside], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (pairs // BUCKETS, pairs % BUCKETS, n)], names=["lang", "bucket", "n"])
 
     return run
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, min_share: float = MIN_SHARE) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, min_share: float = MIN_SHARE, min_rows: int = MIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, 'und' last, and log-likelihoods by bucket and language.
 
-    ``docs`` has ``doc_id, text, declared``. At most 1 / min_share languages
-    pass, and the counts collected are one number per language and bucket.
+    ``docs`` has ``doc_id, text, declared``. Every declared language with
+    ``min_rows`` rows passes, however rare it is, and with fewer rows if they
+    are ``min_share`` of all. The counts collected are one number per language
+    and bucket.
     """
     shares = docs.filter("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
     total = shares.agg(F.sum("n")).first()[0] or 0
-    found = sorted((r.declared, r.n) for r in shares.filter(F.col("n") >= min_share * total).collect())
+    found = sorted((r.declared, r.n) for r in shares.filter(F.col("n") >= min(min_rows, min_share * total)).collect())
     index = {lang: k for k, (lang, _) in enumerate(found)}
     logs = np.zeros((BUCKETS, len(index) + 1), np.float32)
     logs[:, -1] = -math.log(BUCKETS)
     if index:
         slots = 1 << 20
-        limit = F.lit(0)
-        for lang, n in found:
-            limit = F.when(F.col("declared") == lang, int(math.ceil(slots * min(1.0, rows / n)))).otherwise(limit)
+        limits = F.create_map(*[F.lit(x) for lang, n in found for x in (lang, int(math.ceil(slots * min(1.0, rows / n))))])
+        limit = F.coalesce(F.try_element_at(limits, F.col("declared")), F.lit(0))
         sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(slots)) < limit).select("text", "declared")
         sums = np.zeros((len(index), BUCKETS))
-        for r in sample.mapInArrow(_counts(index), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
-            sums[r.lang, r.bucket] = r.n
+        counted = sample.mapInArrow(_counts(index), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        sums[counted["lang"].to_numpy(), counted["bucket"].to_numpy()] = counted["n"].to_numpy()
         smooth = 0.02
         logs[:, :-1] = (np.log(sums + smooth) - np.log(sums.sum(1, keepdims=True) + smooth * BUCKETS)).T
     return [*index, UNKNOWN], logs
@@ -107,13 +109,14 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, min_share: float = MIN_SHARE)
 
 def _scored(logs: np.ndarray, known: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_language = np.ascontiguousarray(logs.T)
         for batch in batches:
             for t in chunks(batch["text"]):
                 bucket, inside = trigrams(t)
                 score = np.zeros((t.n, logs.shape[1]))
                 for k in range(logs.shape[1]):
                     sums = np.zeros(len(bucket) + 1)
-                    np.cumsum(np.where(inside, logs[bucket, k], 0), out=sums[1:])
+                    np.cumsum(np.where(inside, by_language[k][bucket], 0), out=sums[1:])
                     score[:, k] = sums[t.at[1:]] - sums[t.at[:-1]]
                 score = np.round((score - score.max(1, keepdims=True)) / TEMPER, 6)
                 n = t.count(inside)
@@ -133,7 +136,8 @@ def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str | Column =
     least ``limit``. A text of fewer than three bytes, an empty or a null one
     says nothing: it is 'und' and not accepted. Null declarations, hosts and
     suffixes are values of their own; without any declared language all is
-    'und'. Null ids and repeated rows are rows like any other; an empty table
+    'und'. Languages are those of ``train``: all with MIN_ROWS declared rows, at
+    any share of the corpus. Null ids and repeated rows are rows like any other; an empty table
     gives no rows; other columns are ignored.
     """
     need(df, *[c for c in (id_col, text_col, declared_col, host_col, suffix_col) if isinstance(c, str)])
@@ -151,26 +155,34 @@ def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str | Column =
     scored = scored.withColumn("said", said)
     values = [*known[:-1], "?", "-"]
     seen = np.full((n, len(values)), 0.5)
+    place = {v: k for k, v in enumerate(values)}
     for r in scored.groupBy("text_language", "said").count().collect():
-        seen[index[r.text_language], values.index(r.said)] += r["count"]
+        seen[index[r.text_language], place[r.said]] += r["count"]
     confusion = np.log(seen / seen.sum(1, keepdims=True))
-    says = F.create_map(*[x for k, v in enumerate(values) for x in (F.lit(v), F.array(*[F.lit(round(float(confusion[i, k]), 9)) for i in range(n)]))])
-
-    count = [F.sum((F.col("text_language") == lang).cast("long")).alias(f"c{k}") for k, lang in enumerate(known)]
-    hosts = scored.groupBy("suffix", "host").agg(*count)
-    suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"c{k}").alias(f"s{k}") for k in range(n)])
-    whole = suffixes.agg(*[F.sum(f"s{k}").alias(f"t{k}") for k in range(n)]).first()
-    total = sum(x or 0 for x in whole)
-    share = [((whole[k] or 0) + 1.0) / (total + n) for k in range(n)]
+    # one literal that Catalyst folds, so that plans don't grow with the square of the languages
+    flat = F.split(F.lit(" ".join(repr(round(float(x), 9)) for x in confusion.T.ravel())), " ").cast("array<double>")
+    says = F.slice(flat, ((F.array_position(F.array(*map(F.lit, values)), F.col("said")) - 1) * n + 1).cast("int"), n)
+
+    names = F.array(*map(F.lit, known))
+    counts = scored.groupBy("suffix", "host", "text_language").count()
+    as_map = F.map_from_entries(F.collect_list(F.struct("text_language", "count")))
+    hosts = counts.groupBy("suffix", "host").agg(as_map.alias("c"))
+    suffixes = counts.groupBy("suffix", "text_language").agg(F.sum("count").alias("count")).groupBy("suffix").agg(as_map.alias("s"))
+    whole = {r.text_language: r.n for r in counts.groupBy("text_language").agg(F.sum("count").alias("n")).collect()}
+    total = sum(whole.values())
+    share = [(whole.get(lang, 0) + 1.0) / (total + n) for lang in known]
     share[-1] = max(share[-1], UNKNOWN_SHARE) if n > 1 else 1.0
-    smoothed = lambda name, parent: [(F.col(f"{name}{k}") + STRENGTH * parent[k]) / (sum((F.col(f"{name}{j}") for j in range(n)), F.lit(0)) + STRENGTH) for k in range(n)]
-    above = suffixes.select("suffix", *[x.alias(f"p{k}") for k, x in enumerate(smoothed("s", [F.lit(x) for x in share]))])
-    priors = hosts.join(above, "suffix").select("suffix", "host", F.array(*[F.log(x) for x in smoothed("c", [F.col(f"p{k}") for k in range(n)])]).alias("prior"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+    def smoothed(own: str, parent: Column) -> Column:
+        among = F.aggregate(F.map_values(own), F.lit(0).cast("long"), lambda a, b: a + b)
+        return F.transform(names, lambda lang, k: (F.coalesce(F.try_element_at(F.col(own), lang), F.lit(0)) + STRENGTH * F.get(parent, k)) / (among + STRENGTH))
+
+    above = suffixes.select("suffix", smoothed("s", F.array(*map(F.lit, share))).alias("p"))
+    priors = hosts.join(above, "suffix").select("suffix", "host", F.transform(smoothed("c", F.col("p")), lambda x: F.log(x)).alias("prior"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_trigrams"), F.lit(SALTS)).cast("int")).join(priors, ["suffix", "host", "salt"])
-    rows = rows.withColumn("fused", F.zip_with(F.zip_with("scores", F.element_at(says, F.col("said")), lambda a, b: a + b), "prior", lambda a, b: F.round(a + b, 6)))
+    rows = rows.withColumn("fused", F.zip_with(F.zip_with("scores", says, lambda a, b: a + b), "prior", lambda a, b: F.round(a + b, 6)))
     rows = rows.withColumn("top", F.array_max("fused"))
     rows = rows.withColumn("posterior", F.when(F.col("n_trigrams") > 0, F.round(1 / F.aggregate("fused", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))), 6)).otherwise(0.0))
-    names = F.array(*map(F.lit, known))
     rows = rows.withColumn("language", F.when(F.col("n_trigrams") > 0, F.get(names, (F.array_position("fused", F.col("top")) - 1).cast("int"))).otherwise(UNKNOWN))
     return rows.select("doc_id", "declared", "text_language", "language", "posterior", ((F.col("language") != UNKNOWN) & (F.col("posterior") >= limit)).alias("accepted"))
 

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -85,3 +86,34 @@ def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = L.identify_pages(pages).collect()
     assert len(rows) == pages.count() and sum(r.language == r.declared for r in rows) > 0.9 * len(rows)
+
+
+def words_of(rng, letters):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(12))
+
+
+def test_rare_language(spark):
+    """A language far below half a percent of the rows is recognised, declared or not, as it is in a corpus of its own."""
+    rng = random.Random(3)
+    common = [(i, words_of(rng, "etaoinsh"), "en", f"h{i % 7}") for i in range(9000)]
+    rare = [(10000 + i, words_of(rng, "zqxkvwjy"), "xx", "rare.org") for i in range(30)]
+    held = [(20000, words_of(rng, "zqxkvwjy"), None, "rare.org"), (20001, words_of(rng, "zqxkvwjy"), None, "h1")]
+    schema = "doc_id long, text string, lang string, source string"
+    for corpus in (rare + held, common + rare + held):
+        out = {r.doc_id: r for r in L.identify(spark.createDataFrame(corpus, schema)).collect()}
+        assert all(out[r[0]].language == "xx" and out[r[0]].accepted for r in rare + held)
+    assert all(out[r[0]].language == "en" for r in common)
+
+
+def test_many_languages(spark):
+    """Sixty languages of equal and small parts: all are modelled, and plans stay small enough to run."""
+    rng = random.Random(4)
+    alphabet = [chr(0x430 + i) for i in range(32)] + list("abcdefghijklmnopqrstuvwxyz")
+    rows = []
+    for k in range(60):
+        letters = rng.sample(alphabet, 9)
+        rows += [(100 * k + i, words_of(rng, letters), f"l{k:02}", "h") for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert L.train(docs.withColumnRenamed("lang", "declared"))[0] == [*(f"l{k:02}" for k in range(60)), "und"]
+    out = L.identify(docs).collect()
+    assert sum(r.language == r.declared and r.accepted for r in out) >= 0.98 * len(rows)
