@@ -1,7 +1,7 @@
 """Licence recognition from sentences.
 
 Every sentence of a text is normalised and looked up among the known licence
-sentences; the identifiers found, in text order, are then matched against
+sentences, also where signs inside it cut it into pieces; the identifiers found, in text order, are then matched against
 ordered rules, each a sequence of identifiers. The first rule that matches
 gives the verdict. All of it is one projection: no shuffle, no Python.
 """
@@ -73,23 +73,30 @@ def normalise(sentence: str) -> str:
 
 
 def known() -> dict[str, str]:
-    """Normalised sentence to identifier. A known text of several sentences is filed under its pieces' own forms."""
+    """Normalised sentence to identifier. A known text in which a piece ends early, as at ':', is one key all the same."""
     return {normalise(s): name for name, forms in SENTENCES.items() for s in forms}
 
 
+def pieces(text: Column) -> Column:
+    """The normalised pieces between '|'; at '||' no sentence goes on."""
+    cut = F.regexp_replace(F.translate(F.lower(text), "|", " "), ENDS, "$1|")
+    cut = F.replace(cut, F.lit("\n"), F.lit("||"))
+    plain = F.regexp_replace(F.concat(F.lit("|"), cut, F.lit("|")), "[^a-z0-9|]+", " ")
+    return F.replace(F.replace(plain, F.lit(" |"), F.lit("|")), F.lit("| "), F.lit("|"))
+
+
 def sentence_ids(text: Column) -> Column:
-    """Array of the identifiers of a text's known sentences, in order."""
-    pairs = [F.lit(x) for pair in known().items() for x in pair]
-    table = F.create_map(*pairs)
-    # a conjunction sign after which a listed grant goes on isn't an end: ':' and ';' stay with their sentence
-    lines = F.split(F.regexp_replace(F.lower(text), ENDS, "$1\n"), "\n")
-    names = F.transform(lines, lambda s: F.when(_anchored(s), F.element_at(table, F.trim(F.regexp_replace(s, OTHER, " ")))))
-    return F.filter(names, lambda x: x.isNotNull())
+    """Array of the identifiers of a text's known sentences, in order: each is one piece or several in a row, the longest that fits."""
+    table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
+    forms = "|".join(s.replace(" ", "[ |]") for s in sorted(known(), key=lambda s: (-len(s), s)))
+    found = F.regexp_extract_all(pieces(text), F.lit(rf"\|({forms})(?=\|)"), F.lit(1))
+    return F.transform(found, lambda s: F.element_at(table, F.translate(s, "|", " ")))
 
 
 def _anchored(lowered: Column) -> Column:
-    found = lowered.contains(ANCHORS[0])
-    for a in ANCHORS[1:]:
+    words = [a.split()[-1] for a in ANCHORS]  # the rest may stand beyond a line break
+    found = lowered.contains(words[0])
+    for a in words[1:]:
         found = found | lowered.contains(a)
     return found
 
@@ -126,7 +133,7 @@ def _quoted(s: str) -> str:
 
 
 def oracle() -> str:
-    """DuckDB SQL for ``recognise`` over ``documents``."""
+    """DuckDB SQL for ``recognise`` over ``documents`` in which each known sentence is one piece of one line."""
     sentences = ", ".join(f"({_quoted(s)}, {_quoted(name)})" for s, name in known().items())
     rules = ", ".join(f"({k}, {_quoted(name)}, {_quoted('>' + '>'.join(seq) + '>')})" for k, (name, seq) in enumerate(RULES))
     return f"""

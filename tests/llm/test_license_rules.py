@@ -37,3 +37,23 @@ def test_odd_and_oracle(odd, odd_rows, empty, sample):
     assert len(got) == len(odd_rows) and sorted(map(key, got)) == sorted((("None" if r[0] is None or r[0] != r[0] else str(int(r[0]))), *map(str, r[1:])) for r in want)
     assert L.recognise(empty).collect() == []
     assert all(tuple(r)[1:] == by_hand(t) for r, t in zip(L.recognise(sample).orderBy("doc_id").collect(), [r.text for r in sample.orderBy("doc_id").collect()]))
+
+
+def ids_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.sentence_ids, r.verdict) for r in L.recognise(df).orderBy("doc_id").collect()]
+
+
+def test_every_form_is_found(spark):
+    """Each known form yields its own identifier, alone and between other sentences."""
+    forms = [(name, s) for name, all_forms in L.SENTENCES.items() for s in all_forms]
+    assert [i for i, _ in ids_of(spark, [s for _, s in forms])] == [name for name, _ in forms]
+    assert [i for i, _ in ids_of(spark, [f"Some words. {s}  More words." for _, s in forms if s[-1] in ".;:"])] == [name for name, s in forms if s[-1] in ".;:"]
+
+
+def test_gpl_notice(spark):
+    grant, warranty = (L.SENTENCES[k][0] for k in ("gpl-grant", "gpl-warranty"))
+    texts = [grant, f"{grant} {warranty} without even the implied warranty", grant.split(": ")[0] + ": other words. " + grant.split(": ")[1]]
+    got = ids_of(spark, texts)
+    assert got[:2] == [("gpl-grant", "GPL-3.0-or-later"), ("gpl-grant>gpl-warranty", "GPL-3.0-or-later")]
+    assert got[2] == ("", "none")
