@@ -1,7 +1,8 @@
 """Licence recognition from sentences.
 
 Every sentence of a text is normalised and looked up among the known licence
-sentences, also where signs inside it cut it into pieces; the identifiers found, in text order, are then matched against
+sentences, also where signs inside it or the line breaks of a paragraph cut it into pieces
+(comment marks of letters, as 'dnl' or 'rem', are words like any other); the identifiers found, in text order, are then matched against
 ordered rules, each a sequence of identifiers. The first rule that matches
 gives the verdict. All of it is one projection: no shuffle, no Python.
 """
@@ -62,7 +63,7 @@ RULES = [
 #: Each known sentence holds one of these; texts without any are not split (tests hold this true).
 ANCHORS = ["licens", "copyright", "warrant", "rights reserved", "redistribut", "permission"]
 
-#: A sentence ends at a newline, or at one of these signs before blanks.
+#: A piece ends at a newline, or at one of these signs before blanks; sentences are pieces in a row.
 ENDS = "([.!?;:])[ \t\r]+"
 OTHER = "[^a-z0-9]+"
 
@@ -78,11 +79,11 @@ def known() -> dict[str, str]:
 
 
 def pieces(text: Column) -> Column:
-    """The normalised pieces between '|'; at '||' no sentence goes on."""
-    cut = F.regexp_replace(F.translate(F.lower(text), "|", " "), ENDS, "$1|")
-    cut = F.replace(cut, F.lit("\n"), F.lit("||"))
-    plain = F.regexp_replace(F.concat(F.lit("|"), cut, F.lit("|")), "[^a-z0-9|]+", " ")
-    return F.replace(F.replace(plain, F.lit(" |"), F.lit("|")), F.lit("| "), F.lit("|"))
+    """The normalised pieces, lines and parts of lines, between '|'; no sentence goes on at '#', a line without letters or digits."""
+    cut = F.regexp_replace(F.translate(F.lower(text), "|#", "  "), ENDS, "$1|")
+    cut = F.regexp_replace(cut, "\n[^a-z0-9\n]*+\n[^a-z0-9]*+", "|#|")
+    cut = F.concat(F.lit("|"), F.replace(cut, F.lit("\n"), F.lit("|")), F.lit("|"))
+    return F.regexp_replace(F.regexp_replace(cut, "[^a-z0-9|#]+", " "), r"[ |]*\|[ |]*", "|")
 
 
 def sentence_ids(text: Column) -> Column:

@@ -1,6 +1,8 @@
 import re
+import textwrap
 
 import duckdb
+import pytest
 
 from fixlog.llm import license_rules as L
 
@@ -57,3 +59,34 @@ def test_gpl_notice(spark):
     got = ids_of(spark, texts)
     assert got[:2] == [("gpl-grant", "GPL-3.0-or-later"), ("gpl-grant>gpl-warranty", "GPL-3.0-or-later")]
     assert got[2] == ("", "none")
+
+
+NOTICES = {
+    "MIT": ("mit-grant", "mit-notice", "mit-warranty"),
+    "BSD": ("bsd-grant", "bsd-warranty"),
+    "GPL-3.0-or-later": ("gpl-grant", "gpl-warranty"),
+    "Apache-2.0": ("apache2-grant", "apache2-comply", "apache2-copy", "as-is"),
+}
+
+
+def wrapped(sentence, width, mark="", tail="", end="\n"):
+    return end.join(f"{mark}{line}{tail}" for line in textwrap.wrap(sentence, width, break_long_words=False, break_on_hyphens=False))
+
+
+@pytest.mark.parametrize(("mark", "tail", "end"), [("", "", "\n"), ("", "", "\r\n"), (" * ", "", "\n"), ("# ", " ", "\n"), ("// ", "", "\r\n"), ("/* ", " */", "\n"), ("; | ", " |", "\n")])
+def test_wrapped(spark, mark, tail, end):
+    """Notices and single sentences in lines of any width, with comment marks and blank lines between paragraphs."""
+    for width in (20, 40, 72):
+        blank = f"{end}{mark}{tail}{end}"
+        texts = [blank.join(wrapped(L.SENTENCES[k][-1], width, mark, tail, end) for k in keys) for keys in NOTICES.values()]
+        texts += [f"Words before.{end}" + wrapped(" ".join(L.SENTENCES[k][0] for k in keys if k != "apache2-copy"), width, mark, tail, end) + f"{end}{mark}Words after." for keys in NOTICES.values()]
+        got = ids_of(spark, texts)
+        assert got[:4] == [(">".join(keys), name) for name, keys in NOTICES.items()]
+        assert got[4:] == [(">".join(k for k in keys if k != "apache2-copy"), name) for name, keys in NOTICES.items()]
+    forms = [(name, s) for name, all_forms in L.SENTENCES.items() for s in all_forms]
+    assert [i for i, _ in ids_of(spark, [wrapped(s, 12, mark, tail, end) for _, s in forms])] == [name for name, _ in forms]
+
+
+def test_no_sentence_across_paragraphs(spark):
+    texts = ["All rights\n\nreserved.", "All rights\n * \nreserved.", "All rights\r\n\r\n\r\nreserved.", "All rights other reserved.", "All rights\nreserved words.", "Not all rights\nreserved.", "All rights\nreserved."]
+    assert [v for _, v in ids_of(spark, texts)] == ["none"] * 6 + ["Proprietary"]
