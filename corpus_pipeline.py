@@ -19,30 +19,48 @@ from fixlog.llm.queries import tokenizer
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row_id``, by which stages judge: the id where one row has it, else a hash of the row, as for null ids.
+
+    So rows that share an id are judged each for itself; only rows alike in all
+    hashed columns share a ``row_id``.
+    """
+    again = table(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("again")), "again")
+    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
+    known = F.col("doc_id").isNotNull() & F.col("again").isNull()
+    return docs.join(again, "doc_id", "left").withColumn("row_id", F.when(known, F.col("doc_id")).otherwise(own)).select("row_id", *COLUMNS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose language isn't accepted. Columns stay as they are."""
-    verdicts = language_id.identify(docs)
-    bad = table(verdicts.filter(~F.col("accepted")).select("doc_id").distinct(), "rejected")
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops the rows whose language isn't accepted, by ``row_id``: null and repeated ids stay with theirs. Columns stay as they are."""
+    rows = by_row(docs)
+    bad = table(language_id.identify(rows, id_col="row_id").filter(~F.col("accepted")).select(F.col("doc_id").alias("row_id")).distinct(), "rejected")
+    return rows.join(bad, "row_id", "left_anti").select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document whose id names its component (word 5-grams, Jaccard of 0.8 or more), once."""
-    groups = jaccard_join.link(docs, width=5, tenths=8).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(table(groups, "representatives"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps the row whose ``row_id`` names its component (word 5-grams, Jaccard of 0.8 or more), once.
+
+    Rows with null or repeated ids are documents of their own: one that links
+    with none stays, and copies among them go as any others.
+    """
+    rows = by_row(docs)
+    groups = jaccard_join.link(rows, id_col="row_id", width=5, tenths=8).filter("doc_id = component_id").select(F.col("doc_id").alias("row_id")).distinct()
+    return rows.join(table(groups, "representatives"), "row_id", "left_semi").dropDuplicates(["row_id"]).select(*COLUMNS)
 
 
 def remove_repeated_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out of the texts; drops a document only if nothing but blanks is left of it."""
-    left = chunk_dedup.dedup(docs).select("doc_id", F.col("text").alias("left_text"), "n_removed")
-    # ids are unique since the stage before
-    rows = docs.drop("text", "n_chars").join(left, "doc_id").filter((F.col("n_removed") == 0) | F.col("left_text").rlike("[^\\x20\\x09-\\x0D]"))
+    """Cuts repeated passages out of the texts, also of rows with null or repeated ids; drops a row only if nothing but blanks is left of it."""
+    rows = by_row(docs)
+    left = chunk_dedup.dedup(rows, id_col="row_id").select(F.col("doc_id").alias("row_id"), F.col("text").alias("left_text"), "n_removed")
+    # row_ids are unique since the stage before
+    rows = rows.drop("text", "n_chars").join(left, "row_id").filter((F.col("n_removed") == 0) | F.col("left_text").rlike("[^\\x20\\x09-\\x0D]"))
     return rows.withColumn("text", F.col("left_text")).withColumn("n_chars", F.length("left_text").cast("long")).select(*COLUMNS)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that contain a benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    """Drops the rows that contain a benchmark item, by ``row_id``."""
+    return decontaminate.clean(by_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row_id").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
