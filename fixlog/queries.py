@@ -136,7 +136,7 @@ QUERIES: dict[str, Query] = {
     "reach": Query("r(X):-vertices(X,_),X==1;r(Y):-r(X),edges(X,Y,E),E<40;", "r", "x", "RECURSIVE r(x) AS (SELECT 1::BIGINT UNION SELECT dst FROM r JOIN edges ON src = x WHERE w < 40) SELECT x FROM r", "edges"),
     "tc_linear": Query("t(X,Y):-edges(X,Y);t(X,Z):-t(X,Y),edges(Y,Z);", "t", "x y", "RECURSIVE t(x, y) AS (SELECT src, dst FROM edges UNION SELECT x, dst FROM t JOIN edges ON src = y) SELECT x, y FROM t", "nations"),
     "tc_nonlinear": Query("t(X,Y):-edges(X,Y);t(X,Z):-t(X,Y),t(Y,Z);", "t", "x y", "RECURSIVE t(x, y) AS (SELECT src, dst FROM edges UNION SELECT x, dst FROM t JOIN edges ON src = y) SELECT x, y FROM t", "nations"),
-    "mutual_even_odd": Query("even(X):-vertices(X,_),X==0;odd(Y):-even(X),vertices(Y,_),Y==X+1,X<14;even(Y):-odd(X),vertices(Y,_),Y==X+1;", "even", "x", "SELECT unnest(range(0, 15, 2)) AS x"),
+    "mutual_even_odd": Query("even(X):-vertices(X,_),X==0;odd(Y):-even(X),edges(X,Y);even(Y):-odd(X),edges(X,Y);", "even", "x", "RECURSIVE h(x, k) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, 1 - k FROM h JOIN edges ON src = x) SELECT x FROM h WHERE k = 0", "edges"),
     "same_generation": Query("s(X,Y):-edges(P,X),edges(P,Y);s(X,Y):-edges(P,X),s(P,Q),edges(Q,Y);", "s", "x y", "RECURSIVE s(x, y) AS (SELECT a.dst, b.dst FROM edges a JOIN edges b ON a.src = b.src UNION SELECT a.dst, b.dst FROM s JOIN edges a ON a.src = x JOIN edges b ON b.src = y) SELECT x, y FROM s", "nations"),
     # recursion: MIN and MAX
     "cc_min": Query(P.CONNECTED_COMPONENTS, "l", "x l", _BEST.format(seed="id, id FROM vertices", step="SELECT src, c.d FROM (SELECT e.src, min(b.d) AS d FROM edges e JOIN best b ON b.x = e.dst GROUP BY e.src) c JOIN recurring.best o ON o.x = c.src WHERE c.d < o.d", out="x, d AS l"), "edges"),
@@ -168,7 +168,6 @@ QUERIES: dict[str, Query] = {
     "eager_on": Query("p(N,SUM(E)):-edges(X,_,E),vertices(X,N);", "p", "n s", "SELECT label AS n, sum(w)::BIGINT AS s FROM edges JOIN vertices ON id = src GROUP BY label", "edges"),
     "semi_join_off": Query("p(C):-customer(C,_,_),orders(_,C,_);", "p", "c", "SELECT DISTINCT o_custkey AS c FROM orders JOIN customer ON c_custkey = o_custkey", tables="customer orders", options=(("semi_join", False),)),
 }
-QUERIES["mutual_even_odd"] = Query(QUERIES["mutual_even_odd"].program, "even", "x", "SELECT unnest(range(0, 15, 2))::BIGINT AS x", "edges")
 
 
 def edge_list_import(spark: SparkSession, sf_dir: str) -> DataFrame:

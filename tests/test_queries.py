@@ -75,3 +75,10 @@ def test_components_of_all_edges(spark, tables, edges, name, best):
                 if label.get(v, v) != b:
                     label[v], changed = b, True
     assert by_spark(spark, name) == by_sql(name) == sorted(label.items())
+
+
+def test_even_hops_over_all_edges(spark, edges):
+    want = closed({(0, 0)}, lambda new: {(y, 1 - k) for x, k in new for a, y in edges if a == x})
+    want = sorted((x,) for x, k in want if k == 0)
+    assert len(want) > 15
+    assert by_spark(spark, "mutual_even_odd") == by_sql("mutual_even_odd") == want
