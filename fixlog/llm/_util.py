@@ -5,61 +5,110 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Paths that still stand, and what deletes them.
+_made: dict[str, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests on one machine) a temporary
-    folder is made and recorded as the session's checkpoint folder.
+    Only where that setting is missing, and all tasks run in this process, a
+    temporary folder is made and recorded as the session's checkpoint folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="fixlog-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder, removed when the application ends."""
+    """A new path under the shared folder, removed when the application ends if not before."""
     path = f"{shared_dir(spark)}/fixlog-{label}-{uuid.uuid4().hex}"
     if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
+        atexit.register(drop_all)
+    # works after the session has been stopped, too, as the JVM still runs then
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    _made[path] = lambda: where.getFileSystem(conf).delete(where, True)
     return path
 
 
-def _clean() -> None:
-    for spark, path in _made:
+def drop_path(path: str) -> None:
+    _made.pop(path, lambda: None)()
+
+
+def drop_all() -> None:
+    """Removes the scratch tables that still stand."""
+    while _made:
+        _, delete = _made.popitem()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is gone: the folder belongs to the cluster's own clean-up
-            return
+            delete()
+        except Exception:  # the JVM is gone: the folder belongs to the cluster's own clean-up
+            _made.clear()
 
 
-def table(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet in the shared folder and reads it back.
+def standing() -> set[str]:
+    """The paths of the scratch tables that stand."""
+    return set(_made)
 
-    The files outlive lost executors, so a later stage never has to run the
-    plan above again.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def drop_new(before: set[str]) -> None:
+    """Removes the scratch tables that weren't there ``before``."""
+    for path in [p for p in _made if p not in before]:
+        drop_path(path)
+
+
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go when these end: for plans that aren't run again."""
+    was = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, was)
 
 
-def drop_table(df_path: str, spark: SparkSession) -> None:
-    """Removes a scratch table that no later plan reads."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df_path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+class Scratch:
+    """The tables of one operator's run, each dropped once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """Cuts the lineage: writes ``df`` as Parquet in the shared folder and reads it back.
+
+        The files outlive lost executors, so a later stage never has to run the
+        plan above again, and its shuffle files can go.
+        """
+        path = scratch_path(self.spark, label)
+        with cleaned_up(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
+        self.paths.setdefault(label, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        """Removes the tables of these labels, which no later plan may read."""
+        for label in labels:
+            for path in self.paths.pop(label, ()):
+                drop_path(path)
+
+
+def table(df: DataFrame, label: str) -> DataFrame:
+    """A scratch table that stands until the application ends."""
+    return Scratch(df.sparkSession).table(df, label)
 
 
 def need(df: DataFrame, *columns: str) -> None:
