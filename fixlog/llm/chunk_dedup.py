@@ -5,7 +5,7 @@ the hash of the 16 bytes before it is divisible by ``CUTS``, so an insertion
 moves only the ends next to it. Chunks are known by a 128-bit digest. The
 first holder of a digest (the least id, and there the first place) keeps it;
 elsewhere the chunk is a copy, and runs of copies of ``min_run`` bytes or more
-are removed. Counts per digest are combined before they are shuffled, and the
+are removed; a shorter run, as chance makes them, stays. Counts per digest are combined before they are shuffled, and the
 join back to holders splits hot digests (AQE), so a passage that a third of all
 documents share is never gathered anywhere.
 """
@@ -13,7 +13,7 @@ documents share is never gathered anywhere.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import BLANK, Texts, chunks
-from ._util import need, table
+from ._util import Scratch, need
 
 #: Bytes under the rolling hash; a chunk has at least MIN and at most MAX bytes.
 WINDOW, MIN, MAX = 16, 24, 1024
 #: One in CUTS blanks ends a chunk, and one in RARE_CUTS other characters (texts without blanks).
-CUTS, RARE_CUTS = 6, 512
-#: Bytes of a run of copies from which it is removed: about 16 words.
-MIN_RUN = 96
+CUTS, RARE_CUTS = 4, 512
+#: Bytes of a run of copies from which it is removed: about 13 words.
+MIN_RUN = 80
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -85,29 +85,28 @@ def _before(buf: np.ndarray, low: int, c: int) -> int:
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first place of each digest in each text: ``doc_id, d1, d2, nth``."""
+    """Each digest of each text once: ``doc_id, d1, d2``."""
     for batch in batches:
         for t in chunks(batch["text"]):
             start, end, at = cut(t)
             d1, d2 = t.prints(start, end), t.prints(start, end, 1)
             doc = np.repeat(np.arange(t.n), np.diff(at))
             order = np.lexsort((d2, d1, doc))
-            same = (doc[order][1:] == doc[order][:-1]) & (d1[order][1:] == d1[order][:-1]) & (d2[order][1:] == d2[order][:-1])
-            keep = np.ones(len(order), bool)
-            keep[1:] = ~same
-            first = np.sort(order[keep])  # lexsort is stable: the first of equals is the earliest
-            ids = batch["doc_id"].take(pa.array(t.first + doc[first]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(d1[first].view(np.int64)), pa.array(d2[first].view(np.int64)), pa.array((first - at[doc[first]]).astype(np.int32))], names=["doc_id", "d1", "d2", "nth"])
+            doc, d1, d2 = doc[order], d1[order], d2[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+            ids = batch["doc_id"].take(pa.array(t.first + doc[new]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(d1[new].view(np.int64)), pa.array(d2[new].view(np.int64))], names=["doc_id", "d1", "d2"])
 
 
-def _strip(t: Texts, copies: list[list[int] | None], min_run: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """For each text: chunks, copies among them, bytes and spans removed, and what is left."""
+def _strip(t: Texts, copies: list[list[dict] | None], min_run: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """For each text: chunks, copies removed, bytes and spans removed, and what is left."""
     start, end, at = cut(t)
-    d1, d2 = t.prints(start, end), t.prints(start, end, 1)
+    d1, d2 = t.prints(start, end).view(np.int64), t.prints(start, end, 1).view(np.int64)
     for i in range(t.n):
         a, b = at[i], at[i + 1]
         keys = list(zip(d1[a:b].tolist(), d2[a:b].tolist(), strict=True))
-        elsewhere = {keys[k] for k in copies[i] or ()}
+        elsewhere = {(c["d1"], c["d2"]) for c in copies[i] or ()}
         seen: set[tuple[int, int]] = set()
         kept, n_copies, removed, spans, run = [], 0, 0, 0, a
         low = int(t.at[i])
@@ -117,32 +116,41 @@ def _strip(t: Texts, copies: list[list[int] | None], min_run: int) -> Iterator[t
                 key = keys[k - a]
                 copy = key in elsewhere or key in seen
                 seen.add(key)
-                n_copies += copy
             if not copy:
                 if k > run and end[k - 1] - start[run] >= min_run:
                     kept.append(t.buf[low : start[run]].tobytes())
                     removed += int(end[k - 1] - start[run])
+                    n_copies += k - run
                     low, spans = int(end[k - 1]), spans + 1
                 run = k + 1
         kept.append(t.buf[low : t.at[i + 1]].tobytes())
         yield b - a, n_copies, removed, spans, b"".join(kept)
 
 
-def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``df``: ``doc_id, text`` (what is left), ``n_bytes, n_chunks, n_copies, n_removed, n_spans, kept_sha256``.
 
-    Null texts count as empty; rows with a null id are returned as they are and
-    hold nothing for others; rows that repeat an id count as one document, whose
-    chunks are no copies of each other. An empty table gives no rows; other
-    columns are ignored.
+    ``n_copies`` counts the chunks removed. Null texts count as empty; rows with
+    a null id hold nothing for others and lose only what they repeat themselves;
+    rows that repeat an id, with whatever texts, count as one document, whose
+    chunks are no copies of each other. Very long texts are cut like any others
+    and must fit in a task one at a time. An empty table gives no rows; other
+    columns are ignored, but for those in ``carry``, which come back as the
+    fields of a struct ``carried``.
     """
-    need(df, id_col, text_col)
+    need(df, id_col, text_col, *carry)
+    s = Scratch(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
-    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = table(docs.filter("doc_id is not null").mapInArrow(_chunk_rows, f"doc_id {kind}, d1 long, d2 long, nth int"), "chunks")
+    # without columns to carry the struct is a constant
+    carried = F.struct(*[F.col(c) for c in carry] or [F.lit(True).alias("none")])
+    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), carried.alias("carried"))
+    rows = s.table(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_chunk_rows, f"doc_id {kind}, d1 long, d2 long"), "chunks")
     held = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).filter("holder < last")
-    copies = rows.join(held.select("d1", "d2", "holder"), ["d1", "d2"]).filter("doc_id > holder").groupBy("doc_id").agg(F.collect_set("nth").alias("copies"))
+    copies = rows.join(held.select("d1", "d2", "holder"), ["d1", "d2"]).filter("doc_id > holder").groupBy("doc_id").agg(F.collect_set(F.struct("d1", "d2")).alias("copies"))
+    copies = s.table(copies, "copies")
+    s.drop("chunks")
     marked = docs.join(copies, "doc_id", "left")
+    fields = f"doc_id {kind}, text string, n_bytes long, n_chunks long, n_copies long, n_removed long, n_spans long, kept_sha256 string, carried {docs.schema['carried'].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,6 +159,8 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_
                 n, c, r, s, left = zip(*found, strict=True)
                 numbers = [pa.array(x, pa.int64()) for x in (np.diff(t.at), n, c, r, s)]
                 sha = pa.array([hashlib.sha256(x).hexdigest() for x in left])
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(t.first, t.n), pa.array([x.decode("utf-8", "replace") for x in left], pa.string()), *numbers, sha], names=["doc_id", "text", "n_bytes", "n_chunks", "n_copies", "n_removed", "n_spans", "kept_sha256"])
+                texts = pa.array([x.decode("utf-8", "replace") for x in left], pa.string())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(t.first, t.n), texts, *numbers, sha, batch["carried"].slice(t.first, t.n)], names=["doc_id", "text", "n_bytes", "n_chunks", "n_copies", "n_removed", "n_spans", "kept_sha256", "carried"])
 
-    return marked.mapInArrow(run, f"doc_id {kind}, text string, n_bytes long, n_chunks long, n_copies long, n_removed long, n_spans long, kept_sha256 string")
+    out = marked.mapInArrow(run, fields)
+    return out if carry else out.drop("carried")

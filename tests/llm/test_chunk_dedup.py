@@ -16,6 +16,7 @@ def pieces(text):
 
 
 def brute(rows, min_run=C.MIN_RUN):
+    """By the chunks' bytes; rows of one id are one document."""
     holder = {}
     for d, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         for c in pieces(t or ""):
@@ -27,10 +28,9 @@ def brute(rows, min_run=C.MIN_RUN):
         for c in [*cs, None]:
             if c is not None and (c in seen or (d is not None and holder[c] < d)):
                 run.append(c)
-                copies += 1
             else:
                 if run and len(b"".join(run)) >= min_run:
-                    removed, spans = removed + len(b"".join(run)), spans + 1
+                    removed, spans, copies = removed + len(b"".join(run)), spans + 1, copies + len(run)
                 else:
                     kept += run
                 run = []
@@ -73,6 +73,22 @@ def check(df, rows):
     return {r[0]: r for r in got}
 
 
+def test_repeated_ids(spark):
+    """Rows of one id with different texts, longer and shorter: each loses what earlier ids hold, and nothing to each other."""
+    rng = random.Random(4)
+    text = lambda n: " ".join("w%d" % rng.randrange(10**6) for _ in range(n))
+    a, b = text(400), text(80)
+    rows = [(1, a), (2, a), (2, "short one"), (2, b), (3, b + " and more"), (3, "short one"), (2, b), (None, a + " " + a), (None, b)]
+    got = [tuple(r) for r in C.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got, key=str) == brute(rows)
+    assert {r[2]: r[5] for r in got if r[0] == 2} == {len(a): len(a), 9: 0, len(b): 0}
+
+
+def test_carry(spark, odd, odd_rows):
+    got = C.dedup(odd, carry=["host", "n_chars"]).select("doc_id", "carried.*").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((r[0], r[7], r[4]) for r in odd_rows), key=str)
+
+
 def test_odd(odd, odd_rows, empty):
     check(odd, [(r[0], r[1]) for r in odd_rows])
     assert C.dedup(empty).collect() == []

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from fixlog.llm import language_id
+from fixlog.llm._util import standing
 
 from .test_chunk_dedup import brute as brute_chunks
 from .test_decontaminate import brute as brute_items
@@ -64,5 +65,7 @@ def test_stages(spark, sample, tmp_path):
         ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
         assert sorted(pieces[d]) == [(a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048])) for a in range(0, len(ids), 2048)]
 
+    before = standing()
     again = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(standing() - before) == 1  # the result
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, seen["packing"]))
