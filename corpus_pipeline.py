@@ -7,28 +7,27 @@ packing. All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixlog.llm import chunk_dedup, decontaminate, jaccard_join, language_id, packing
-from fixlog.llm._util import shared_dir, table
+from fixlog.llm._util import cleaned_up, drop_new, scratch_path, standing, table
 from fixlog.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def by_row(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row_id``, by which stages judge: the id where one row has it, else a hash of the row, as for null ids.
+    """``docs`` with ``row_id``, by which stages judge, and ``own``: whether that is the id, as where one row has it.
 
-    So rows that share an id are judged each for itself; only rows alike in all
-    hashed columns share a ``row_id``.
+    For null and repeated ids it is a hash of the row. So rows that share an id
+    are judged each for itself; only rows alike in all hashed columns share a
+    ``row_id``. Null texts are hashed as empty ones; an empty table stays empty.
     """
     again = table(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("again")), "again")
-    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
-    known = F.col("doc_id").isNotNull() & F.col("again").isNull()
-    return docs.join(again, "doc_id", "left").withColumn("row_id", F.when(known, F.col("doc_id")).otherwise(own)).select("row_id", *COLUMNS)
+    hashed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
+    rows = docs.join(again, "doc_id", "left").withColumn("own", F.col("doc_id").isNotNull() & F.col("again").isNull())
+    return rows.withColumn("row_id", F.when(F.col("own"), F.col("doc_id")).otherwise(hashed)).select("row_id", "own", *COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,16 +45,16 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     rows = by_row(docs)
     groups = jaccard_join.link(rows, id_col="row_id", width=5, tenths=8).filter("doc_id = component_id").select(F.col("doc_id").alias("row_id")).distinct()
-    return rows.join(table(groups, "representatives"), "row_id", "left_semi").dropDuplicates(["row_id"]).select(*COLUMNS)
+    kept = rows.join(table(groups, "representatives"), "row_id", "left_semi")
+    # only hashed names can stand twice
+    return kept.filter("own").select(*COLUMNS).unionByName(kept.filter("not own").dropDuplicates(["row_id"]).select(*COLUMNS))
 
 
 def remove_repeated_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of the texts, also of rows with null or repeated ids; drops a row only if nothing but blanks is left of it."""
-    rows = by_row(docs)
-    left = chunk_dedup.dedup(rows, id_col="row_id").select(F.col("doc_id").alias("row_id"), F.col("text").alias("left_text"), "n_removed")
-    # row_ids are unique since the stage before
-    rows = rows.drop("text", "n_chars").join(left, "row_id").filter((F.col("n_removed") == 0) | F.col("left_text").rlike("[^\\x20\\x09-\\x0D]"))
-    return rows.withColumn("text", F.col("left_text")).withColumn("n_chars", F.length("left_text").cast("long")).select(*COLUMNS)
+    left = chunk_dedup.dedup(by_row(docs), id_col="row_id", carry=["doc_id", "lang", "source", "n_chars"])
+    left = left.filter((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return left.select("carried.doc_id", "text", "carried.lang", "carried.source", F.length("text").cast("long").alias("n_chars"))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,10 +80,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written as Parquet in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """Applies the stages to documents, each written as Parquet in the shared folder and read again.
+
+    What a stage made on its way goes when it has been written, and what it was
+    given too; the last result stands until the application ends.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        before = standing() - {last}
+        path = scratch_path(spark, f"pipeline-{name}")
+        with cleaned_up(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        drop_new(before | {path})
+        docs, last = spark.read.parquet(path), path
     return docs
