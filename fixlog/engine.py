@@ -32,6 +32,21 @@ class Result:
     def __getitem__(self, name: str) -> DataFrame:
         return self.relations[name]
 
+    def sizes(self) -> dict[str, int]:
+        """The number of rows of each relation."""
+        return {name: df.count() for name, df in self.relations.items()}
+
+    def show(self, n: int = 20) -> None:
+        """Prints the first ``n`` rows of each relation under its name."""
+        for name, df in self.relations.items():
+            print(name)
+            df.show(n, truncate=False)
+
+    def write(self, path: str, format: str = "parquet", mode: str = "error") -> None:
+        """Writes each relation to a folder of its name under ``path``."""
+        for name, df in self.relations.items():
+            df.write.format(format).mode(mode).save(f"{path.rstrip('/')}/{name}")
+
     def explain(self) -> str:
         """Strata in order, each with its rules as SQL and the rounds it took."""
         lines = []
@@ -106,6 +121,13 @@ class Engine:
         sql = {h: [rule_sql(r, columns) for r in program.rules if r.head.name == h] for h in program.heads()}
         return Result({h: self._titled(program, h, frames[h]) for h in program.heads()}, order, rounds, sql)
 
+    def run_file(self, path: str) -> Result:
+        """Runs the program in a file that Spark can read; a folder's files count as one program, in order of their names."""
+        rows = self.spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("name")).collect()
+        if not rows:
+            raise ProgramError(f"no program in {path}")
+        return self.run("\n".join(r.value for r in sorted(rows, key=lambda r: r.name)))
+
     @staticmethod
     def _titled(program: Program, head: str, df: DataFrame) -> DataFrame:
         """Columns by the head's variables where these tell them apart; else F0, F1, ..."""

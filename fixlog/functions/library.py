@@ -22,7 +22,7 @@ def _int(x: Column) -> Column:
 
 
 def _share(top: Column, whole: Column) -> Column:
-    return F.when(whole == 0, F.lit(0)).otherwise(F.floor(top.cast("double") * 100 / whole)).cast("bigint")
+    return F.when(whole == 0, F.lit(0)).otherwise(_int(top.cast("double") * 100 / whole)).cast("bigint")
 
 
 def _ap_confidence(a: Column, b: Column, c: Column) -> Column:

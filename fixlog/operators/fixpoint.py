@@ -3,14 +3,15 @@
 Each round derives only from what the last round added. A set relation keeps
 the rows that are new, MIN and MAX those that improve, SUM and COUNT add up
 contributions. Inputs that don't change are persisted once, dealt by the
-columns on which the recursive atom meets them, so rounds shuffle only what is
-new. The new rows of each round go to the shared checkpoint folder, so plans
+columns on which the recursive atom meets them, so they aren't shuffled again;
+what is new meets the relation so far, which is. The new rows of each round go to the shared checkpoint folder, so plans
 stay as small as one round and a lost executor costs at most that round; a
 relation is the union of its rounds, made one every ``CUT`` rounds.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import time
 from collections.abc import Callable
@@ -42,10 +43,13 @@ class Round:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable: in the folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
+    """Reliable: in the folder that spark.checkpoint.dir names; a folder of our own only where it is unset and one process does all."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fixlog-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="fixlog-"))
     return df.checkpoint()
 
 

@@ -79,14 +79,15 @@ class RulePlan:
         if not (self.options.eager_aggregation and self.aggregate and len(atoms) > 1):
             return None
         inner = variables(self.aggregate.args[0])
-        if self.aggregate.name == "COUNT" or not inner:
+        counting = self.aggregate.name == "COUNT"  # counts tuples, whatever its argument
+        if not inner and not counting:
             return None
         for k, a in enumerate(atoms):
             own = {v for e in a.args for v in variables(e)}
-            if not inner <= own or any(not isinstance(e, Var | Wild) for e in a.args) or self.unique(a.name):
+            if any(not isinstance(e, Var | Wild) for e in a.args) or self.unique(a.name):
                 continue
             elsewhere = {v for j, b in enumerate(atoms) if j != k for e in b.args for v in variables(e)} | {v for e in self.rule.head.args[:-1] for v in variables(e)} | {v for c in self.rule.conditions for v in variables(c)}
-            if inner & elsewhere:
+            if not counting and (not inner <= own or inner & elsewhere):
                 continue
             keys = sorted(own & elsewhere)
             if len(keys) < len({v for e in a.args for v in variables(e)}):
@@ -110,15 +111,16 @@ class RulePlan:
         if atoms:
             eager = self._ahead(atoms, counts)
             place = sum(1 for a in rule.atoms[:first] if not a.negated)
-            for k in self._order(atoms, place):
+            order = self._order(atoms, place)
+            for k in order:
                 scan, own, later = self._scan(k, atoms[k], positive[k][1])
                 mine = [c for c in pending if not isinstance(c, _Placed) and variables(c) and variables(c) <= set(own)]
                 if mine:
                     scan = scan.filter(_conjunction([column(c, own, self.functions) for c in mine]))
                     pending = [c for c in pending if c not in mine]
                 if eager and eager[0] == k:
-                    value = column(self.aggregate.args[0], own, self.functions)
-                    scan = scan.groupBy(*[own[v].alias(f"g{k}_{v}") for v in eager[1]] or [F.lit(1).alias(f"g{k}")]).agg(_MERGE[self.aggregate.name](value).alias(f"g{k}_value"))
+                    value = F.count(F.lit(1)) if self.aggregate.name == "COUNT" else _MERGE[self.aggregate.name](column(self.aggregate.args[0], own, self.functions))
+                    scan = scan.groupBy(*[own[v].alias(f"g{k}_{v}") for v in eager[1]] or [F.lit(1).alias(f"g{k}")]).agg(value.alias(f"g{k}_value"))
                     own, partial = {v: F.col(f"g{k}_{v}") for v in eager[1]}, F.col(f"g{k}_value")
                 if df is None:
                     df, bound = scan, own
@@ -134,6 +136,13 @@ class RulePlan:
                     on += [column(c, after, self.functions) for c in ready] + [p == column(e, after, self.functions) for p, e in now]
                     pending = [c for c in pending if c not in ready]
                     fresh = [v for v in own if v not in bound and counts[v] > sum(isinstance(e, Var) and e.name == v for e in atoms[k].args)]
+                    if not on and self.aggregate is None and not extra and not any(isinstance(c, _Placed) for c in pending):
+                        # without keys each side goes in as the set of what is used of it
+                        done = order[: order.index(k) + 1]
+                        used = {v for e in [*rule.head.args, *pending, *(e for j, a in enumerate(atoms) if j not in done for e in a.args), *(e for a in rule.atoms if a.negated for e in a.args)] for v in variables(e)}
+                        bound, own = ({v: c for v, c in x.items() if v in used} for x in (bound, own))
+                        df, scan = (d.select(*x.values() or [F.lit(1).alias(f"{side}{k}")]).distinct() for d, x, side in ((df, bound, "l"), (scan, own, "r")))
+                        after = bound | own
                     semi = self.options.semi_join and self.aggregate is None and on and not fresh and not extra
                     df = df.join(scan, _conjunction(on), "left_semi" if semi else "inner") if on else df.crossJoin(scan)
                     bound = bound if semi else after

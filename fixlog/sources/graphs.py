@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.fixpoint import checkpoint
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -73,8 +75,13 @@ def edge_lines(lines: DataFrame) -> DataFrame:
 
 
 def dense_ids(ids: DataFrame) -> DataFrame:
-    """``id, k``: ids in order numbered from 0, by range partitions and their counts."""
-    placed = ids.distinct().repartitionByRange("id").withColumn("p", F.spark_partition_id())
+    """``id, k``: ids in order numbered from 0, by range partitions and their counts.
+
+    Both branches below must see the same partitions, so these are fixed in
+    number and written once.
+    """
+    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpoint(ids.distinct().repartitionByRange(n, "id").withColumn("p", F.spark_partition_id()))
     counts = placed.groupBy("p").count()
     # one row for each partition
     before = counts.select("p", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))

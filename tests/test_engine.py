@@ -245,3 +245,40 @@ def test_native_plan(spark):
     assert "Join Inner" in plan and "Cartesian" not in plan
     assert "LeftSemi" in g.run("p(X):-vertices(X,_),edges(_,X);")["p"]._jdf.queryExecution().optimizedPlan().toString()
     assert F is not None
+
+
+def test_negative_shares(spark):
+    e = Engine(spark).register("n", spark.createDataFrame([(5, -8), (-8, 5), (3, 1), (2, -2)], "a long, b long"))
+    got = {(a, b): (x, y) for a, b, x, y in e.run("p(A,B,Confidence(A,B),AP_CONFIDENCE(A,B,1)):-n(A,B);")["p"].collect()}
+    assert got == {(5, -8): (-166, 250), (-8, 5): (-166, -45), (3, 1): (75, 42), (2, -2): (0, 100)}
+
+
+def test_program_file_and_sink(spark, tmp_path, capsys):
+    (tmp_path / "one.txt").write_text("% hops\nn(X,COUNT(Y)):-edges(X,Y);\nm(X):-n(X,C),C>1;\n")
+    r = graph(spark, DIAMOND).run_file(str(tmp_path / "one.txt"))
+    assert r.sizes() == {"n": 3, "m": 1}
+    r.show()
+    assert "|1  |2  |" in capsys.readouterr().out
+    r.write(str(tmp_path / "out"))
+    assert rows(spark.read.parquet(str(tmp_path / "out/n"))) == rows(r["n"])
+
+
+def test_count_ahead_of_joins(spark):
+    text = "p(N,COUNT(Y)):-vertices(X,N),edges(X,Y);"
+    plain = Engine(spark, eager_aggregation=False)
+    g = graph(spark, DIAMOND)
+    plain.frames, plain.names = g.frames, g.names
+    eager = g.run(text)["p"]
+    assert rows(eager) == rows(plain.run(text)["p"])
+    assert eager._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") > plain.run(text)["p"]._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+
+
+def test_sets_before_keyless_joins(spark):
+    """Each side of a join without keys is cut to what is used of it, and made a set."""
+    e = Engine(spark).register("a", spark.createDataFrame([(k, k % 3) for k in range(30)], "k long, v long")).register("b", spark.createDataFrame([(k, k % 2) for k in range(20)], "k long, v long"))
+    r = e.run("p(V,W):-a(_,V),b(_,W);q(V):-a(_,V),b(_,_);s(V,W,Z):-a(_,V),b(_,W),a(Z,_),Z==V+W;")
+    assert rows(r["p"]) == [(v, w) for v in range(3) for w in range(2)]
+    assert rows(r["q"]) == [(0,), (1,), (2,)]
+    assert rows(r["s"]) == [(v, w, v + w) for v in range(3) for w in range(2)]
+    plan = r["p"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 3
