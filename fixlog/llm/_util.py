@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Spark's setting by which a query's shuffle files go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: A key of more than one in so many rows is hot.
+HOT = 1000
+
 #: Paths that still stand, and what deletes them.
 _made: dict[str, object] = {}
 
@@ -111,6 +114,19 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return Scratch(df.sparkSession).table(df, label)
 
 
+def counted_join(rows: DataFrame, keys: DataFrame, on: list[str], hot: int = HOT) -> DataFrame:
+    """``rows`` joined with ``keys``, of which column ``rows`` tells how many of ``rows`` each has at least; without that column.
+
+    Keys of more than one in ``hot`` of all rows are fewer than ``hot``: these
+    are broadcast, so that their rows stay where they are. The others are dealt.
+    Both inputs are read twice, so they should be tables.
+    """
+    least = keys.agg(F.sum("rows")).first()[0] or 0
+    heavy = F.col("rows") > least / hot
+    few = keys.filter(heavy).drop("rows")
+    return rows.join(F.broadcast(few), on).unionByName(rows.join(F.broadcast(few.select(on)), on, "left_anti").join(keys.filter(~heavy).drop("rows"), on))
+
+
 def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -17,7 +17,11 @@ bucket drop out at once, which leaves little to refine:
    partial sums, so a passage in a third of all documents costs one row a task.
 3. Distinct contexts of such buckets are refined together in numpy by
    ``equal_strings``. A bucket of more than ``PIECE`` contexts is refined in
-   pieces; what is alone in its piece is compared across pieces by fingerprint.
+   pieces; what is alone in its piece is compared across pieces by the bucket's
+   and its own fingerprint.
+
+A q-gram or a context of over one in ``HOT`` of the rows is one of fewer than
+``HOT``, so these are broadcast and their rows stay where they are.
 
 Text moves only to make contexts and to cut documents with repeats.
 """
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import Texts, chunks, mix
-from ._util import need, table
+from ._util import counted_join, need, table
 
 LENGTH, GRAM = 200, 80
 #: Distinct contexts of a bucket that are refined at once.
@@ -123,7 +127,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the contexts asked for: ``gram, context, t, n, nth, single, bytes``."""
+    """The bytes of the contexts asked for: ``gram, context, t, n, nth, single, pieces, bytes``."""
     for batch in batches:
         for t in chunks(batch["text"]):
             anchor, low, high, at = items(t)
@@ -131,14 +135,14 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(t.n):
                 for w in batch["wanted"][t.first + i].as_py():
                     k = at[i] + w["nth"]
-                    out.append((w["gram"], w["context"], batch["t"][t.first + i].as_py(), batch["n"][t.first + i].as_py(), w["nth"], w["single"], t.buf[low[k] : high[k] + LENGTH].tobytes()))
+                    out.append((w["gram"], w["context"], batch["t"][t.first + i].as_py(), batch["n"][t.first + i].as_py(), w["nth"], w["single"], w["pieces"], t.buf[low[k] : high[k] + LENGTH].tobytes()))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["gram", "context", "t", "n", "nth", "single", "bytes"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["gram", "context", "t", "n", "nth", "single", "pieces", "bytes"])
 
 
 def _refine(bucket: pa.Table) -> pa.Table:
-    """Rows ``t, n, nth, place, print, piece``.
+    """Rows ``t, n, nth, place, gram, print, piece``.
 
     A row without a print is a string found repeated. In buckets of several
     pieces, rows with a print are one for each class of strings of the piece:
@@ -160,7 +164,7 @@ def _refine(bucket: pa.Table) -> pa.Table:
     single = np.array([r["single"] for r in rows])
     wide = np.array([r["pieces"] > 1 for r in rows])
     hit = np.flatnonzero(repeated & single[own])
-    out: dict[str, list] = {k: [] for k in ("t", "n", "nth", "place", "print", "piece")}
+    out: dict[str, list] = {k: [] for k in ("t", "n", "nth", "place", "gram", "print", "piece")}
 
     def add(which: np.ndarray, prints: list | None, named: np.ndarray | None = None) -> None:
         for j, k in enumerate(which.tolist()):
@@ -169,6 +173,7 @@ def _refine(bucket: pa.Table) -> pa.Table:
             out["n"].append(r["n"] if known else None)
             out["nth"].append(r["nth"] if known else None)
             out["place"].append(int(place[k]))
+            out["gram"].append(r["gram"])
             out["print"].append(prints[j] if prints else None)
             out["piece"].append(r["piece"])
 
@@ -178,7 +183,7 @@ def _refine(bucket: pa.Table) -> pa.Table:
         one = first[wide[own[first]]]
         t = Texts(buf, np.array([0, len(buf)]), 0)
         add(one, t.prints(start[one], start[one] + LENGTH, 1).view(np.int64).tolist(), ~repeated[one] & single[own[one]])
-    kinds = {"t": pa.int64(), "n": pa.int64(), "nth": pa.int32(), "place": pa.int32(), "print": pa.int64(), "piece": pa.int64()}
+    kinds = {"t": pa.int64(), "n": pa.int64(), "nth": pa.int32(), "place": pa.int32(), "gram": pa.int64(), "print": pa.int64(), "piece": pa.int64()}
     return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
 
@@ -219,24 +224,28 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> D
     docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n"))
     long = docs.filter(F.col("n") >= LENGTH).select("t", "n", "text")
     found = table(long.mapInArrow(_anchors, "t long, n long, nth int, gram long, context long"), "anchors")
-    shared = found.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("context").alias("low"), F.max("context").alias("high")).filter("c > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed"))
-    left = table(found.join(shared, "gram"), "shared")
-    alike = left.filter("mixed").groupBy("gram", "context").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("t", "n", "nth")).alias("one"))
+    shared = found.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), F.min("context").alias("low"), F.max("context").alias("high")).filter("rows > 1").select("gram", "rows", (F.col("low") != F.col("high")).alias("mixed"))
+    left = table(counted_join(found, table(shared, "grams"), ["gram"]), "shared")
+    mixed = left.filter("mixed")
+    alike = mixed.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("t", "n", "nth")).alias("one"))
     alike = table(alike, "contexts")
-    grams = alike.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.min("c").alias("least")).filter("least = 1").select("gram", F.ceil(F.col("contexts") / PIECE).cast("long").alias("pieces"))
-    asked = table(alike.join(grams, "gram").select("gram", "context", "pieces", (F.col("c") == 1).alias("single"), "one.t", "one.n", "one.nth"), "asked")
+    grams = alike.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.min("rows").alias("least")).filter("least = 1")
+    grams = table(grams.select("gram", F.col("contexts").alias("rows"), F.ceil(F.col("contexts") / PIECE).cast("long").alias("pieces")), "refinable")
+    single = alike.select("gram", "context", (F.col("rows") == 1).alias("single"), "one.t", "one.n", "one.nth")
+    asked = table(counted_join(single, grams, ["gram"]), "asked")
     total = asked.count()
-    wanted = asked.groupBy("t", "n").agg(F.collect_list(F.struct("nth", "gram", "context", "single")).alias("wanted"))
-    cut = _near(long, asked).join(wanted, ["t", "n"]).mapInArrow(_slices, "gram long, context long, t long, n long, nth int, single boolean, bytes binary")
+    wanted = asked.groupBy("t", "n").agg(F.collect_list(F.struct("nth", "gram", "context", "single", "pieces")).alias("wanted"))
+    # copies of a text give the same bytes: one goes on
+    cut = _near(long, asked).dropDuplicates(["t", "n"]).join(wanted, ["t", "n"]).mapInArrow(_slices, "gram long, context long, t long, n long, nth int, single boolean, pieces long, bytes binary")
     piece = F.pmod("context", F.col("pieces"))
-    placed = cut.join(grams, "gram").withColumn("piece", piece).withColumn("bucket", F.pmod(F.xxhash64("gram", "piece"), F.lit(max(1, -(-2 * total // PIECE)))))
-    refined = table(placed.groupBy("bucket").applyInArrow(_refine, "t long, n long, nth int, place int, print long, piece long"), "refined")
+    placed = cut.withColumn("piece", piece).withColumn("bucket", F.pmod(F.xxhash64("gram", "piece"), F.lit(max(1, -(-2 * total // PIECE)))))
+    refined = table(placed.groupBy("bucket").applyInArrow(_refine, "t long, n long, nth int, place int, gram long, print long, piece long"), "refined")
     across = refined.filter("print is not null")
-    several = across.groupBy("print").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).filter("low < high").select("print")
+    several = across.groupBy("gram", "print").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).filter("low < high").select("gram", "print")
     cols = ["t", "n", "nth", "place"]
-    marks = refined.filter("print is null").select(cols).unionByName(across.filter("t is not null").join(several, "print").select(cols))
+    marks = refined.filter("print is null").select(cols).unionByName(across.filter("t is not null").join(several, ["gram", "print"]).select(cols))
     # whole items: all alike in their bucket, or one of several with the same context
-    whole = left.filter("not mixed").select("t", "n", "nth").unionByName(left.filter("mixed").join(alike.filter("c > 1").select("gram", "context"), ["gram", "context"]).select("t", "n", "nth"))
+    whole = left.filter("not mixed").select("t", "n", "nth").unionByName(counted_join(mixed, alike.filter("rows > 1").select("gram", "context", "rows"), ["gram", "context"]).select("t", "n", "nth"))
     marks = marks.unionByName(whole.withColumn("place", F.lit(-1)))
     marks = table(marks.groupBy("t", "n").agg(F.collect_set(F.struct("nth", "place")).alias("marks")), "marks")
     near, rest = _near(docs, marks), _near(docs, marks, False)

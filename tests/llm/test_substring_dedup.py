@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fixlog.llm import substring_dedup as S
+from fixlog.llm._util import counted_join
 
 
 def brute(rows, length=S.LENGTH):
@@ -73,3 +74,12 @@ def test_equal_strings(text, length):
     want = [index.setdefault(text[i : i + length], i) for i in start]
     first = {}
     assert [first.setdefault(x, i) for i, x in enumerate(ids.tolist())] == want
+
+
+def test_counted_join(spark, tmp_path):
+    rows = spark.createDataFrame([(1, i) for i in range(300)] + [(k, 0) for k in range(2, 40)] + [(None, 5)], "k long, v long")
+    keys = spark.createDataFrame([(1, 300, "a"), (2, 1, "b"), (7, 1, "c"), (99, 4, "d")], "k long, rows long, kind string")
+    want = sorted([(1, i, "a") for i in range(300)] + [(2, 0, "b"), (7, 0, "c")])
+    for hot in (1, 2, 1000):
+        assert sorted(map(tuple, counted_join(rows, keys, ["k"], hot).collect())) == want
+    assert counted_join(rows, keys.limit(0), ["k"]).count() == 0
