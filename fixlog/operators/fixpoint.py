@@ -86,6 +86,7 @@ class Fixpoint:
         self.dealt: dict[tuple, DataFrame] = {}
         for r in self.step:
             self._check(r)
+
     def _additive(self, name: str) -> bool:
         return self.aggregates[name] in ("SUM", "COUNT")
 
@@ -178,9 +179,11 @@ class Fixpoint:
         return merge(parts, self.aggregates[name], single=aggregated)
 
     def _new(self, candidates: DataFrame, s: _State) -> DataFrame:
+        """The candidates that add to the relation. In sets nulls are values: one key struct makes them equal."""
         *keys, last = candidates.columns
         if s.aggregate is None:
-            return candidates.join(s.full(), candidates.columns, "left_anti")
+            known = s.full().select(F.struct(*candidates.columns).alias("known"))
+            return candidates.join(known, F.struct(*candidates.columns) == F.col("known"), "left_anti")
         if s.aggregate in ("SUM", "COUNT"):
             return candidates
         known = s.full().withColumnRenamed(last, "known")

@@ -20,6 +20,7 @@ GRAPHS = {
     "dag": f"SELECT DISTINCT greatest(src, dst) AS src, least(src, dst) AS dst, w FROM ({_EDGES}) g WHERE src <> dst",
     "both_ways": f"SELECT src, dst, w FROM ({_EDGES}) g UNION SELECT dst, src, w FROM ({_EDGES}) h",
     "nations": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, 1 AS w FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey",
+    "gaps": "SELECT DISTINCT nullif(CAST(c_nationkey AS BIGINT), 3) AS src, nullif(CAST(s_nationkey AS BIGINT), 7) AS dst, 1 AS w FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey",
 }
 #: Tables as relations: the columns taken, in order.
 TABLES = {
@@ -91,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "filter_le": Query("p(X,Y):-edges(X,Y,E),E<=3;", "p", "x y", "SELECT DISTINCT src AS x, dst AS y FROM edges WHERE w <= 3", "edges"),
     "filter_ge": Query("p(X,Y):-edges(X,Y,E),E>=99;", "p", "x y", "SELECT DISTINCT src AS x, dst AS y FROM edges WHERE w >= 99", "edges"),
     "filter_and_or": Query("p(X):-vertices(X,N),(N<3||N>20)&&X!=7;", "p", "x", "SELECT id AS x FROM vertices WHERE (label < 3 OR label > 20) AND id <> 7", "edges"),
+    "comments": Query("% the whole line\np(X, N) :- % the rest of one\n  vertices(X, N), N > 20;\n% and at the end", "p", "x n", "SELECT id AS x, label AS n FROM vertices WHERE label > 20", "edges"),
     "const_in_atom": Query('p(X,Y):-edges(X,Y,5);p(X,C):-orders(X,C,"F"),X<50;', "p", "x y", "SELECT src AS x, dst AS y FROM edges WHERE w = 5 UNION SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey < 50", "edges", "orders"),
     "constant_condition": Query("p(X):-vertices(X,N),1==2;p(X):-vertices(X,3),2>1;", "p", "x", "SELECT id AS x FROM vertices WHERE label = 3", "edges"),
     "repeated_var": Query("p(X,E):-edges(X,X,E);", "p", "x e", "SELECT src AS x, w AS e FROM edges WHERE src = dst", "edges"),
@@ -136,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "reach": Query("r(X):-vertices(X,_),X==1;r(Y):-r(X),edges(X,Y,E),E<40;", "r", "x", "RECURSIVE r(x) AS (SELECT 1::BIGINT UNION SELECT dst FROM r JOIN edges ON src = x WHERE w < 40) SELECT x FROM r", "edges"),
     "tc_linear": Query("t(X,Y):-edges(X,Y);t(X,Z):-t(X,Y),edges(Y,Z);", "t", "x y", "RECURSIVE t(x, y) AS (SELECT src, dst FROM edges UNION SELECT x, dst FROM t JOIN edges ON src = y) SELECT x, y FROM t", "nations"),
     "tc_nonlinear": Query("t(X,Y):-edges(X,Y);t(X,Z):-t(X,Y),t(Y,Z);", "t", "x y", "RECURSIVE t(x, y) AS (SELECT src, dst FROM edges UNION SELECT x, dst FROM t JOIN edges ON src = y) SELECT x, y FROM t", "nations"),
+    "tc_nulls": Query("t(X,Y):-edges(X,Y);t(X,Z):-t(X,Y),edges(Y,Z);", "t", "x y", "RECURSIVE t(x, y) AS (SELECT src, dst FROM edges UNION SELECT x, dst FROM t JOIN edges ON src = y) SELECT x, y FROM t", "gaps"),
     "mutual_even_odd": Query("even(X):-vertices(X,_),X==0;odd(Y):-even(X),edges(X,Y);even(Y):-odd(X),edges(X,Y);", "even", "x", "RECURSIVE h(x, k) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, 1 - k FROM h JOIN edges ON src = x) SELECT x FROM h WHERE k = 0", "edges"),
     "same_generation": Query("s(X,Y):-edges(P,X),edges(P,Y);s(X,Y):-edges(P,X),s(P,Q),edges(Q,Y);", "s", "x y", "RECURSIVE s(x, y) AS (SELECT a.dst, b.dst FROM edges a JOIN edges b ON a.src = b.src UNION SELECT a.dst, b.dst FROM s JOIN edges a ON a.src = x JOIN edges b ON b.src = y) SELECT x, y FROM s", "nations"),
     # recursion: MIN and MAX
@@ -183,6 +186,29 @@ def graph_json_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.from_json_lines(lines).edges
 
 
+def mixed_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges sent down where the ids' bitwise XOR is odd, else up."""
+    return graphs.import_edges(_read(spark, sf_dir, _EDGES), orientation="mixed").edges.select("src", "dst", "w")
+
+
+def graph_side_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.side_lines(_read(spark, sf_dir, GRAPHS["vertices"]), _read(spark, sf_dir, GRAPHS["edges"]))
+
+
+def own_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered function, with the type it was given."""
+    engine = Engine(spark).register("orders", _read(spark, sf_dir, f"SELECT {TABLES['orders']} FROM orders"), distinct=False)
+    engine.register_udf("Tag", lambda s, k: F.concat(s, F.lit("-"), k % 3), 2, "string")
+    return engine.run("p(X,Tag(S,X)):-orders(X,_,S);")["p"].toDF("x", "t")
+
+
+def relation_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each relation of a program has."""
+    engine = Engine(spark).register("orders", _read(spark, sf_dir, f"SELECT {TABLES['orders']} FROM orders"), distinct=False)
+    sizes = engine.run('p(C):-orders(_,C,_);q(X):-orders(X,_,"F");').sizes()
+    return spark.createDataFrame(sorted(sizes.items()), "name string, n long")
+
+
 def edge_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _read(spark, sf_dir, GRAPHS["edges"])
     return graphs.partition_quality(edges, 16)
@@ -191,6 +217,10 @@ def edge_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 IMPORTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "edge_list_import": (edge_list_import, f"WITH g AS ({_EDGES}), ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT src AS id FROM g UNION SELECT dst FROM g)), p AS (SELECT DISTINCT a.k AS x, b.k AS y FROM g JOIN ids a ON a.id = src JOIN ids b ON b.id = dst WHERE a.k <> b.k) SELECT DISTINCT greatest(x, y) AS src, least(x, y) AS dst, 1::BIGINT AS w FROM p"),
     "graph_json_load": (graph_json_load, GRAPHS["edges"]),
+    "mixed_import": (mixed_import, f"WITH g AS ({_EDGES}), ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT src AS id FROM g UNION SELECT dst FROM g)), p AS (SELECT DISTINCT greatest(a.k, b.k) AS hi, least(a.k, b.k) AS lo FROM g JOIN ids a ON a.id = src JOIN ids b ON b.id = dst WHERE a.k <> b.k) SELECT CASE WHEN xor(hi, lo) % 2 = 1 THEN hi ELSE lo END AS src, CASE WHEN xor(hi, lo) % 2 = 1 THEN lo ELSE hi END AS dst, 1::BIGINT AS w FROM p"),
+    "graph_side_lines": (graph_side_lines, f"WITH g AS ({_EDGES}), o AS (SELECT src, string_agg(concat('edge', chr(9), src, chr(9), dst, chr(9), w, chr(9)), '' ORDER BY dst, w) AS rest FROM g GROUP BY src) SELECT concat('vertex', chr(9), id, chr(9), label, chr(9), coalesce(rest, '')) AS value FROM ({GRAPHS['vertices']}) v LEFT JOIN o ON src = id"),
+    "own_function": (own_function, "SELECT o_orderkey AS x, concat(o_orderstatus, '-', o_orderkey % 3) AS t FROM orders"),
+    "relation_sizes": (relation_sizes, "SELECT 'p' AS name, count(DISTINCT o_custkey) AS n FROM orders UNION ALL SELECT 'q', count(*) FROM orders WHERE o_orderstatus = 'F'"),
     "edge_cut": (edge_cut, f"WITH g AS ({_EDGES}) SELECT (SELECT count(*) FROM g WHERE src % 16 <> dst % 16) AS edge_cut, (SELECT count(*) FROM (SELECT DISTINCT src, dst % 16 FROM g WHERE src % 16 <> dst % 16)) AS communication_volume"),
 }
 

@@ -59,13 +59,15 @@ def to_json_lines(vertices: DataFrame, edges: DataFrame, super_vertices: int = 6
 
 
 def side_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """One line per vertex: ``vertex, id, label`` and then ``edge, src, dst, w`` for each edge out of it, parted by tabs."""
+    """One line per vertex: ``vertex, id, label`` and then ``edge, src, dst, w`` for each edge out of it, in order, parted by tabs."""
     tab = F.lit("\t")
     src, dst, w = edges.columns
     vid, label = vertices.columns
-    out = edges.groupBy(F.col(src).alias("id")).agg(F.concat_ws("", F.collect_list(F.concat(F.lit("edge\t"), src, tab, dst, tab, w, tab))).alias("rest"))
+    out = edges.groupBy(F.col(src).alias("id")).agg(F.sort_array(F.collect_list(F.struct(dst, w))).alias("to"))
     rows = vertices.select(F.col(vid).alias("id"), F.col(label).alias("label")).join(out, "id", "left")
-    return rows.select(F.concat(F.lit("vertex\t"), F.col("id"), tab, F.col("label"), tab, F.coalesce("rest", F.lit(""))).alias("value"))
+    edge = lambda e: F.concat(F.lit("edge\t"), F.col("id"), tab, e[dst], tab, e[w], tab)
+    rest = F.coalesce(F.array_join(F.transform("to", edge), ""), F.lit(""))
+    return rows.select(F.concat(F.lit("vertex\t"), F.col("id"), tab, F.col("label"), tab, rest).alias("value"))
 
 
 def edge_lines(lines: DataFrame) -> DataFrame:

@@ -157,6 +157,13 @@ def test_cycle(spark):
         g.run("c(X,1):-vertices(X,_),X==1;c(Y,SUM(N)):-edges(X,Y),c(X,N);")
 
 
+def test_sets_with_nulls(spark):
+    """A null is a value of a set, and equals nothing in a join."""
+    g = graph(spark, [(1, 2), (2, 1), (1, None), (None, 4)])
+    found = [tuple(r) for r in g.run("t(X,Y):-edges(X,Y);t(X,Z):-t(X,Y),edges(Y,Z);")["t"].collect()]
+    assert sorted(found, key=str) == [(1, 1), (1, 2), (1, None), (2, 1), (2, 2), (2, None), (None, 4)]
+
+
 def test_long_chain(spark):
     """More rounds than are kept apart, for sets, minima and sums."""
     g = graph(spark, [(i, i + 1) for i in range(1, 24)])
