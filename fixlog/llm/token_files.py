@@ -1,20 +1,23 @@
 """Token files: frequency-ranked ids in a byte-aligned variable-length coding.
 
-A file is a series of blocks in ascending order of ``doc_id``. A block has a
-table of its ids by falling frequency, counted over all its documents; each id
-is stored as its rank in one to four bytes, whose lengths stand apart in
-control bytes of four two-bit codes. A reader finds all lengths by one numpy
-lookup in a table of the 256 control bytes, and all values by a gather.
-
-Texts are dealt by ranges of ``doc_id`` and encoded where they are written, so
-ids are never shuffled, and each block depends on its own documents alone: a
-lost task writes its file again and no other. Files go through Spark's own
-writer and commit protocol (one block per record, ended by a newline), so they
-can be in any store that Spark knows.
-
-    block: magic 4s, part u32, block u32, documents u32, ids u64, ranks u32, data u64
+Ids are ranked by falling frequency, counted over all documents, in one table
+beside the files. A file is a series of blocks in ascending order of
+``doc_id``; each id is stored as its rank in one to four bytes, whose lengths
+stand apart in control bytes of four two-bit codes. A reader finds all lengths
+by one numpy lookup in a table of the 256 control bytes, and all values by a
+gather.
+
+Texts are encoded once, where they are read, to a scratch table of ids, as
+ranks are known only when all ids have been counted. The ids, about a third of
+the texts' bytes, are then dealt by ranges of ``doc_id`` to the files; rows of
+one id by their ids and their places, so that a hot id fills many files. Files
+go through Spark's own writer and commit protocol (one block per record, ended
+by a newline), so they can be in any store that Spark knows.
+
+    ranks: Parquet, rank long, id long, n long
+    block: magic 4s, part u32, block u32, documents u32, ids u64, data u64
            null flag u8 and doc_id i64 of each document, ids of each u64
-           id of each rank u32, control bytes, data bytes
+           control bytes, data bytes
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ from pyspark.sql import functions as F
 
 from ._arrays import chunks
 from ._bpe import encoder, with_end
-from ._util import need, scratch_path, table, text_of
+from ._util import Scratch, cleaned_up, need, scratch_path, table, text_of
 
-MAGIC = b"FXT1"
-HEAD = struct.Struct("<4sIIIQIQ")
+MAGIC = b"FXT2"
+HEAD = struct.Struct("<4sIIIQQ")
 #: Ids that a writer gathers before it ends a block.
 BLOCK_IDS = 1 << 21
 #: Bytes of text for each file, at which a reader's memory is a few times as much.
@@ -70,24 +73,19 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return value
 
 
-def write_block(part: int, block: int, doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
-    count = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
-    used = np.flatnonzero(count)
-    by_rank = used[np.lexsort((used, -count[used]))]
-    rank = np.zeros(len(count), np.uint32)
-    rank[by_rank] = np.arange(len(by_rank))
-    control, data = encode_ranks(rank[ids])
+def write_block(part: int, block: int, doc_ids: list[int | None], sizes: np.ndarray, ranks: np.ndarray) -> bytes:
+    control, data = encode_ranks(ranks)
     null = np.array([d is None for d in doc_ids], np.uint8)
     keys = np.array([d or 0 for d in doc_ids], "<i8")
-    head = HEAD.pack(MAGIC, part, block, len(doc_ids), len(ids), len(by_rank), len(data))
-    return b"".join([head, null.tobytes(), keys.tobytes(), sizes.astype("<u8").tobytes(), by_rank.astype("<u4").tobytes(), control, data])
+    head = HEAD.pack(MAGIC, part, block, len(doc_ids), len(ranks), len(data))
+    return b"".join([head, null.tobytes(), keys.tobytes(), sizes.astype("<u8").tobytes(), control, data])
 
 
 def read_blocks(content: bytes) -> Iterator[tuple[int, int, list[int | None], np.ndarray, np.ndarray]]:
-    """Part, block, doc ids, sizes and ids of each block of a file."""
+    """Part, block, doc ids, sizes and ranks of each block of a file."""
     at = 0
     while at < len(content):
-        magic, part, block, docs, n, ranks, size = HEAD.unpack_from(content, at)
+        magic, part, block, docs, n, size = HEAD.unpack_from(content, at)
         if magic != MAGIC:
             raise ValueError("not a block of token ids")
         at += HEAD.size
@@ -98,68 +96,115 @@ def read_blocks(content: bytes) -> Iterator[tuple[int, int, list[int | None], np
             at += out.nbytes
             return out
 
-        null, keys, sizes, by_rank = take("u1", docs), take("<i8", docs), take("<u8", docs), take("<u4", ranks)
-        ids = by_rank[decode_ranks(take("u1", -(-n // 4)), take("u1", size), n)] if n else np.zeros(0, np.uint32)
+        null, keys, sizes = take("u1", docs), take("<i8", docs), take("<u8", docs)
+        ranks = decode_ranks(take("u1", -(-n // 4)), take("u1", size), n)
         at += 1  # the newline that ends a record
-        yield part, block, [None if x else int(k) for x, k in zip(null, keys, strict=True)], sizes.astype(np.int64), ids
+        yield part, block, [None if x else int(k) for x, k in zip(null, keys, strict=True)], sizes.astype(np.int64), ranks
 
 
-def write(df: DataFrame, path: str, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
-    """Writes the ids of every text of ``df`` to files under ``path`` in ascending order of id.
+def _ids(tokenizer: str, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, part, place = encoder(tokenizer), TaskContext.get().partitionId() << 40, 0
+        for batch in batches:
+            for t in chunks(batch["text"]):
+                flat, at = with_end(*enc.encode(t), end_id)
+                raw = pa.array([memoryview(flat[a:b]).cast("B") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                places = np.arange(place, place + t.n) + part
+                place += t.n
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(t.first, t.n), raw, pa.array(np.diff(t.at)), pa.array(places)], names=["doc_id", "ids", "bytes", "place"])
+
+    return run
 
-    Null texts count as empty: the end id alone. Null ids come first; rows that
-    repeat an id stand next to each other. An empty table gives files without
-    blocks. Other columns are ignored.
-    """
-    need(df, id_col, text_col)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, nth = encoder(tokenizer), TaskContext.get().partitionId(), 0
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each id occurs in a task's rows."""
+    sums = np.zeros(0, np.int64)
+    for batch in batches:
+        for raw in batch["ids"]:
+            n = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"), minlength=len(sums))
+            n[: len(sums)] += sums
+            sums = n
+    used = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["id", "n"])
+
+
+def _blocks(rank_of: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nth, gathered = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
-        sizes: list[np.ndarray] = []
         ids: list[np.ndarray] = []
 
         def done() -> pa.RecordBatch:
-            nonlocal nth
-            raw = write_block(part, nth, keys, np.concatenate(sizes), np.concatenate(ids))
-            nth += 1
-            for x in (keys, sizes, ids):
-                x.clear()
+            nonlocal nth, gathered
+            raw = write_block(part, nth, keys, np.array([len(x) for x in ids]), rank_of[np.concatenate(ids)])
+            nth, gathered = nth + 1, 0
+            keys.clear()
+            ids.clear()
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["value"])
 
         for batch in batches:
-            for t in chunks(batch["text"]):
-                flat, at = with_end(*enc.encode(t), end_id)
-                keys += batch["doc_id"].slice(t.first, t.n).to_pylist()
-                sizes.append(np.diff(at))
-                ids.append(flat)
-                if sum(map(len, ids)) >= BLOCK_IDS:
+            for key, raw in zip(batch["doc_id"].to_pylist(), batch["ids"], strict=True):
+                keys.append(key)
+                ids.append(np.frombuffer(raw.as_buffer(), "<u4"))
+                gathered += len(ids[-1])
+                if gathered >= BLOCK_IDS:
                     yield done()
         if keys:
             yield done()
 
+    return run
+
+
+def write(df: DataFrame, path: str, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
+    """Writes the ids of every text of ``df`` to files under ``path`` in ascending order of id.
+
+    Null texts count as empty: the end id alone. Null ids come first; rows that
+    repeat an id stand next to each other, if need be in several files. A very
+    long text is one document of one block. An empty table gives files without
+    blocks. Other columns are ignored. The ranks are one number for each id of
+    the vocabulary, and go to the tasks that way.
+    """
+    need(df, id_col, text_col)
+    spark = df.sparkSession
+    scratch = Scratch(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    files = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes))
-    dealt = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    # the text writer puts bytes as they are, and a newline after each record
-    dealt.mapInArrow(blocks, "value binary").select(F.col("value").cast("string").alias("value")).write.option("compression", "none").text(path)
+    encoded = scratch.table(docs.mapInArrow(_ids(tokenizer, end_id), "doc_id long, ids binary, bytes long, place long"), "ids")
+
+    counted = encoded.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    id_of, n = counted["id"].to_numpy(), counted["n"].to_numpy()
+    by_rank = np.lexsort((id_of, -n))
+    rank_of = np.zeros(id_of.max(initial=-1) + 1, np.uint32)
+    rank_of[id_of[by_rank]] = np.arange(len(by_rank))
+    ranks = pa.table({"rank": np.arange(len(by_rank)), "id": id_of[by_rank], "n": n[by_rank]})
+    spark.createDataFrame(ranks).coalesce(1).write.parquet(f"{path}/ranks")
+
+    files = max(1, -(-(encoded.agg(F.sum("bytes")).first()[0] or 0) // file_bytes))
+    order = ["doc_id", F.xxhash64("ids"), "place"]
+    dealt = encoded.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    with cleaned_up(spark):
+        # the text writer puts bytes as they are, and a newline after each record
+        dealt.mapInArrow(_blocks(rank_of), "value binary").select(F.col("value").cast("string").alias("value")).write.option("compression", "none").text(f"{path}/blocks")
+    scratch.drop("ids")
 
 
 def read(spark, path: str) -> DataFrame:
     """From the files under ``path``: ``doc_id, start, n_tokens, ids_crc32, part``, one row per document."""
+    ranks = spark.read.parquet(f"{path}/ranks").select("rank", "id").toArrow()
+    by_rank = np.zeros(ranks.num_rows, "<u4")
+    by_rank[ranks["rank"].to_numpy()] = ranks["id"].to_numpy()
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch["content"]:
                 before = 0
-                for part, _, keys, sizes, ids in sorted(read_blocks(content.as_py()), key=lambda b: b[1]):
+                for part, _, keys, sizes, ranks in sorted(read_blocks(content.as_buffer()), key=lambda b: b[1]):
                     at = np.concatenate([[0], np.cumsum(sizes)])
-                    raw = ids.astype("<u4")
+                    raw = by_rank[ranks]
                     crc = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(before + at[:-1]), pa.array(sizes), pa.array(crc, pa.int64())], names=["part", "doc_id", "before", "n_tokens", "ids_crc32"])
                     before += int(at[-1])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/blocks").select("content")
     rows = table(files.mapInArrow(documents, "part long, doc_id long, before long, n_tokens long, ids_crc32 long"), "token-index")
     # one row for each file
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))

@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -143,3 +143,20 @@ def test_many_files(spark):
     token_files.write(df, path, public_tokenizers.path(FILES[1]), end_id=2, file_bytes=500)
     got = token_files.read(spark, path).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted(r[0] for r in rows) and len({r.part for r in got}) > 3
+
+
+def test_ranks_are_of_the_whole_corpus(spark):
+    """The rank table holds every id by its frequency over all files; rows of a hot id fill several."""
+    rng = random.Random(4)
+    rows = [(7 if i % 3 else rng.randrange(100), " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(9)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = token_files.scratch_path(spark, "t")
+    token_files.write(df, path, public_tokenizers.path(FILES[1]), end_id=2, file_bytes=500)
+    ids = ids_of(FILES[1])
+    n = Counter(x for _, t in rows for x in [*ids(t), 2])
+    got = [(r.id, r.n) for r in spark.read.parquet(path + "/ranks").orderBy("rank").collect()]
+    assert got == sorted(n.items(), key=lambda x: (-x[1], x[0]))
+    back = token_files.read(spark, path).orderBy("start").collect()
+    assert len({r.part for r in back if r.doc_id == 7}) > 3
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in back) == sorted((d, len(ids(t)) + 1, zlib.crc32(np.array([*ids(t), 2], "<u4"))) for d, t in rows)
+    assert [r.start for r in back] == [sum(r.n_tokens for r in back[:k]) for k in range(len(back))]
