@@ -8,8 +8,8 @@ by one numpy lookup in a table of the 256 control bytes, and all values by a
 gather.
 
 Texts are encoded once, where they are read, to a scratch table of ids, as
-ranks are known only when all ids have been counted. The ids, about a third of
-the texts' bytes, are then dealt by ranges of ``doc_id`` to the files; rows of
+ranks are known only when all ids have been counted. The ids, in two bytes each
+where they allow it, are then dealt by ranges of ``doc_id`` to the files; rows of
 one id by their ids and their places, so that a hot id fills many files. Files
 go through Spark's own writer and commit protocol (one block per record, ended
 by a newline), so they can be in any store that Spark knows.
@@ -108,49 +108,51 @@ def _ids(tokenizer: str, end_id: int):
         for batch in batches:
             for t in chunks(batch["text"]):
                 flat, at = with_end(*enc.encode(t), end_id)
-                raw = pa.array([memoryview(flat[a:b]).cast("B") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                if flat.max() < 1 << 16:
+                    flat = flat.astype("<u2")
+                raw = pa.Array.from_buffers(pa.large_binary(), t.n, [None, pa.py_buffer(at * flat.itemsize), pa.py_buffer(flat)])
                 places = np.arange(place, place + t.n) + part
                 place += t.n
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(t.first, t.n), raw, pa.array(np.diff(t.at)), pa.array(places)], names=["doc_id", "ids", "bytes", "place"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(t.first, t.n), raw.cast(pa.binary()), pa.array(np.diff(at)), pa.array(np.diff(t.at)), pa.array(places)], names=["doc_id", "ids", "n", "bytes", "place"])
 
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """Rows' keys and ids, in groups of ``least`` ids or, where a row is longer, one more row."""
+    keys: list[int | None] = []
+    ids: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        for key, n, raw in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["ids"], strict=True):
+            content = raw.as_buffer()
+            keys.append(key)
+            ids.append(np.frombuffer(content, f"<u{content.size // n}"))
+            size += n
+            if size >= least:
+                yield keys, ids
+                keys, ids, size = [], [], 0
+    if keys:
+        yield keys, ids
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each id occurs in a task's rows."""
     sums = np.zeros(0, np.int64)
-    for batch in batches:
-        for raw in batch["ids"]:
-            n = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"), minlength=len(sums))
-            n[: len(sums)] += sums
-            sums = n
+    for _, ids in _gathered(batches, BLOCK_IDS // 4):
+        n = np.bincount(np.concatenate(ids), minlength=len(sums))
+        n[: len(sums)] += sums
+        sums = n
     used = np.flatnonzero(sums)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["id", "n"])
 
 
 def _blocks(rank_of: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth, gathered = TaskContext.get().partitionId(), 0, 0
-        keys: list[int | None] = []
-        ids: list[np.ndarray] = []
-
-        def done() -> pa.RecordBatch:
-            nonlocal nth, gathered
+        part = TaskContext.get().partitionId()
+        for nth, (keys, ids) in enumerate(_gathered(batches, BLOCK_IDS)):
             raw = write_block(part, nth, keys, np.array([len(x) for x in ids]), rank_of[np.concatenate(ids)])
-            nth, gathered = nth + 1, 0
-            keys.clear()
-            ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["value"])
-
-        for batch in batches:
-            for key, raw in zip(batch["doc_id"].to_pylist(), batch["ids"], strict=True):
-                keys.append(key)
-                ids.append(np.frombuffer(raw.as_buffer(), "<u4"))
-                gathered += len(ids[-1])
-                if gathered >= BLOCK_IDS:
-                    yield done()
-        if keys:
-            yield done()
+            yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["value"])
 
     return run
 
@@ -168,9 +170,9 @@ def write(df: DataFrame, path: str, tokenizer: str, *, end_id: int, id_col: str
     spark = df.sparkSession
     scratch = Scratch(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    encoded = scratch.table(docs.mapInArrow(_ids(tokenizer, end_id), "doc_id long, ids binary, bytes long, place long"), "ids")
+    encoded = scratch.table(docs.mapInArrow(_ids(tokenizer, end_id), "doc_id long, ids binary, n long, bytes long, place long"), "ids")
 
-    counted = encoded.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counted = encoded.select("doc_id", "n", "ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     id_of, n = counted["id"].to_numpy(), counted["n"].to_numpy()
     by_rank = np.lexsort((id_of, -n))
     rank_of = np.zeros(id_of.max(initial=-1) + 1, np.uint32)
@@ -180,7 +182,7 @@ def write(df: DataFrame, path: str, tokenizer: str, *, end_id: int, id_col: str
 
     files = max(1, -(-(encoded.agg(F.sum("bytes")).first()[0] or 0) // file_bytes))
     order = ["doc_id", F.xxhash64("ids"), "place"]
-    dealt = encoded.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    dealt = encoded.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
     with cleaned_up(spark):
         # the text writer puts bytes as they are, and a newline after each record
         dealt.mapInArrow(_blocks(rank_of), "value binary").select(F.col("value").cast("string").alias("value")).write.option("compression", "none").text(f"{path}/blocks")
