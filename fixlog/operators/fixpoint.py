@@ -3,10 +3,11 @@
 Each round derives only from what the last round added. A set relation keeps
 the rows that are new, MIN and MAX those that improve, SUM and COUNT add up
 contributions. Inputs that don't change are persisted once, dealt by the
-columns on which the recursive atom meets them, so they aren't shuffled again;
-what is new meets the relation so far, which is. The new rows of each round go to the shared checkpoint folder, so plans
-stay as small as one round and a lost executor costs at most that round; a
-relation is the union of its rounds, made one every ``CUT`` rounds.
+columns on which the recursive atom meets them, so they aren't shuffled again.
+What is new meets the relation so far; a large relation stays in place while
+what is new is small. The new rows of each round go to the shared checkpoint
+folder, so plans stay as small as one round and a lost executor costs at most
+that round; a relation is the union of its rounds, made one every ``CUT`` rounds.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .rules import RulePlan, merge, named
 
 #: Rounds whose rows stand apart before they are made one table.
 CUT = 8
+#: Rows from which on a relation isn't shuffled to meet few candidates. Below, one job less counts for more.
+IN_PLACE = 1_000_000
 
 
 class NoFixpoint(RuntimeError):
@@ -62,6 +65,7 @@ class _State:
     delta: DataFrame
     rows: int
     n_old: int = 0
+    total: int = 0
 
     def full(self) -> DataFrame:
         return self._one(self.parts)
@@ -129,6 +133,7 @@ class Fixpoint:
             parts = [self._rows(self.plan(r).build([self.closed(a.name) for a in r.atoms]), name) for r in self.base if r.head.name == name]
             seed = checkpoint(merge(parts, self.aggregates[name])) if parts else self._empty(name)
             states[name] = _State(self.aggregates[name], [seed], seed, seed.count() if parts else 0)
+            states[name].total = states[name].rows
         self.rounds.append(Round(tuple(self.group), 0, sum(s.rows for s in states.values()), time.time() - began))
         number = 0
         while any(s.rows for s in states.values()):
@@ -142,6 +147,7 @@ class Fixpoint:
                 s.n_old, s.rows = len(s.parts), 0
                 if name in new and (rows := new[name].count()):
                     s.delta, s.rows = new[name], rows
+                    s.total += rows
                     s.parts.append(s.delta)
                     if s.n_old >= CUT:
                         s.parts = [checkpoint(s.old()), s.delta]
@@ -179,14 +185,36 @@ class Fixpoint:
         return merge(parts, self.aggregates[name], single=aggregated)
 
     def _new(self, candidates: DataFrame, s: _State) -> DataFrame:
-        """The candidates that add to the relation. In sets nulls are values: one key struct makes them equal."""
-        *keys, last = candidates.columns
-        if s.aggregate is None:
-            known = s.full().select(F.struct(*candidates.columns).alias("known"))
-            return candidates.join(known, F.struct(*candidates.columns) == F.col("known"), "left_anti")
+        """The candidates that add to the relation, in the checkpoint folder.
+
+        Where the relation is large they are held first, so that Spark knows
+        their size: few are broadcast to the relation, which stays in place, and
+        only the rows that they meet are shuffled.
+        """
         if s.aggregate in ("SUM", "COUNT"):
-            return candidates
+            return checkpoint(candidates)
+        unmet = self._unmet if s.aggregate is None else self._better
+        if s.total < IN_PLACE:
+            return checkpoint(unmet(candidates, s, False))
+        held = candidates.persist()
+        held.count()
+        new = checkpoint(unmet(held, s, True))
+        held.unpersist()
+        return new
+
+    def _unmet(self, candidates: DataFrame, s: _State, in_place: bool) -> DataFrame:
+        """In sets nulls are values: one key struct makes them equal."""
+        key = F.struct(*candidates.columns)
+        known = s.full().select(key.alias("known"))
+        if in_place:
+            known = known.join(candidates.select(key.alias("key")), F.col("known") == F.col("key"), "left_semi")
+        return candidates.join(known, key == F.col("known"), "left_anti")
+
+    def _better(self, candidates: DataFrame, s: _State, in_place: bool) -> DataFrame:
+        *keys, last = candidates.columns
         known = s.full().withColumnRenamed(last, "known")
+        if in_place and keys:
+            known = known.join(candidates.select(*keys), keys, "left_semi")
         better = F.col(last) < F.col("known") if s.aggregate == "MIN" else F.col(last) > F.col("known")
         joined = candidates.join(known, keys, "left") if keys else candidates.join(known, F.lit(True), "left")
         return joined.filter(F.col("known").isNull() | better).select(*keys, last)
