@@ -128,14 +128,20 @@ def _scored(logs: np.ndarray, known: list[str]):
     return run
 
 
+def suffix_of(host: Column) -> Column:
+    """What follows a host's last dot, without a port; '' for names without a dot and for numbers."""
+    return F.regexp_extract(F.lower(host), r"\.([a-z][a-z0-9-]*)\.?(?::\d+)?$", 1)
+
+
 def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str | Column = "text", declared_col: str | Column = "lang", host_col: str | Column = "source", suffix_col: str | Column | None = None, train_rows: int = TRAIN_ROWS, limit: float = 0.5) -> DataFrame:
     """One row per row of ``df``: ``doc_id, declared, text_language, language, posterior, accepted``.
 
     ``language`` has the greatest posterior (ties: the first by name, 'und'
     last). A document is accepted if that isn't 'und' and its posterior is at
     least ``limit``. A text of fewer than three bytes, an empty or a null one
-    says nothing: it is 'und' and not accepted. Null declarations, hosts and
-    suffixes are values of their own; without any declared language all is
+    says nothing: it is 'und' and not accepted. Suffixes are those of the hosts
+    unless ``suffix_col`` is given. Null declarations, hosts and suffixes are
+    values of their own; without any declared language all is
     'und'. Languages are those of ``train``: all with MIN_ROWS declared rows, at
     any share of the corpus. Null ids and repeated rows are rows like any other; an empty table
     gives no rows; other columns are ignored.
@@ -144,7 +150,7 @@ def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str | Column =
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     kind = dict(df.dtypes)[id_col]
     blank = lambda c: F.coalesce(as_col(c).cast("string"), F.lit(""))
-    docs = df.select(F.col(id_col).alias("doc_id"), blank(text_col).alias("text"), F.nullif(F.lower(F.trim(as_col(declared_col).cast("string"))), F.lit("")).alias("declared"), blank(host_col).alias("host"), (blank(suffix_col) if suffix_col is not None else F.lit("")).alias("suffix"))
+    docs = df.select(F.col(id_col).alias("doc_id"), blank(text_col).alias("text"), F.nullif(F.lower(F.trim(as_col(declared_col).cast("string"))), F.lit("")).alias("declared"), blank(host_col).alias("host"), (blank(suffix_col) if suffix_col is not None else suffix_of(blank(host_col))).alias("suffix"))
     known, logs = train(docs, train_rows)
     scored = table(docs.mapInArrow(_scored(logs, known), f"doc_id {kind}, declared string, host string, suffix string, scores array<double>, text_language string, n_trigrams long"), "scores")
 
@@ -193,4 +199,4 @@ def identify_pages(pages: DataFrame, **options) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z]+://([^/:?#]+)", 1))
     text = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
     declared = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]+)", 1)
-    return identify(pages, id_col="page_id", text_col=text, declared_col=declared, host_col=host, suffix_col=F.regexp_extract(host, r"\.([a-z]+)$", 1), **options).withColumnRenamed("doc_id", "page_id")
+    return identify(pages, id_col="page_id", text_col=text, declared_col=declared, host_col=host, **options).withColumnRenamed("doc_id", "page_id")

@@ -117,3 +117,17 @@ def test_many_languages(spark):
     assert L.train(docs.withColumnRenamed("lang", "declared"))[0] == [*(f"l{k:02}" for k in range(60)), "und"]
     out = L.identify(docs).collect()
     assert sum(r.language == r.declared and r.accepted for r in out) >= 0.98 * len(rows)
+
+
+def test_suffix_of_host(spark):
+    """A host seen once leans on its suffix; names without a dot have none."""
+    hosts = spark.createDataFrame([("www.a.DE",), ("b.co.uk:8080",), ("c.fr.",), ("src7",), ("10.0.0.1",), ("",)], "h string")
+    assert [r[0] for r in hosts.select(L.suffix_of(F.col("h"))).collect()] == ["de", "uk", "fr", "", "", ""]
+    en = [(i, "the house and the garden with that thing over there number %d" % i, "en", f"e{i}.com") for i in range(60)]
+    de = [(100 + i, "das haus und der garten mit dem ding dort drüben nummer %d" % i, "de", f"d{i}.de") for i in range(60)]
+    english, german = "the house and garden with that thing over there".split(), "das haus und garten mit dem ding dort drüben".split()
+    mixed = [" ".join(english[:a] + german[:b]) for a in range(2, 9) for b in range(2, 9)]
+    new = [(1000 + 2 * k + j, t, ("de", "en")[k % 2], f"new{k}.{('de', 'com')[j]}") for k, t in enumerate(mixed) for j in (0, 1)]
+    out = {r.doc_id: r for r in L.identify(spark.createDataFrame(en + de + new, "doc_id long, text string, lang string, source string")).collect()}
+    pairs = Counter((out[1000 + 2 * k].language, out[1001 + 2 * k].language) for k in range(len(mixed)))
+    assert pairs["de", "en"] > 0 and pairs["en", "de"] == 0
