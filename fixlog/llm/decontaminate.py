@@ -68,7 +68,8 @@ def contained(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8, widt
     Rows that repeat a document or an item give one pair, with the largest
     share. Texts that are null, empty or without a word contain nothing and are
     contained in nothing; an item of fewer than ``width`` words is found only as
-    the whole of an equally short text. Rows with a null id aren't reported.
+    the whole of an equally short text. Very long texts are whole sets like any
+    others. Rows with a null id aren't reported.
     Empty tables give no rows; other columns are ignored.
     """
     need(docs, id_col, text_col)

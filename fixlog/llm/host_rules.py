@@ -130,8 +130,8 @@ def judge(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host
     30 % of them in repeated windows of eight) and no rule's shrunk failure rate
     of its host exceeds ``limit``; ``host_rate`` is the largest of those rates.
     Null texts count as empty (no words: they fail), null hosts as the host '';
-    repeated rows count and return each; an empty table gives no rows; further
-    columns are ignored.
+    repeated rows count and return each; very long texts count whole, one at a
+    time; an empty table gives no rows; further columns are ignored.
     """
     need(df, id_col, text_col, host_col)
     fields = "doc_id {}, host string, {}".format(dict(df.dtypes)[id_col], ", ".join(f"{m} long" for m in MEASURES))

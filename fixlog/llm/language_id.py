@@ -143,8 +143,8 @@ def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str | Column =
     unless ``suffix_col`` is given. Null declarations, hosts and suffixes are
     values of their own; without any declared language all is
     'und'. Languages are those of ``train``: all with MIN_ROWS declared rows, at
-    any share of the corpus. Null ids and repeated rows are rows like any other; an empty table
-    gives no rows; other columns are ignored.
+    any share of the corpus. Null ids and repeated rows are rows like any other; very long texts
+    count whole, one at a time; an empty table gives no rows; other columns are ignored.
     """
     need(df, *[c for c in (id_col, text_col, declared_col, host_col, suffix_col) if isinstance(c, str)])
     as_col = lambda c: F.col(c) if isinstance(c, str) else c

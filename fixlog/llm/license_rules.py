@@ -110,7 +110,8 @@ def recognise(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     of all rules that match, in the order of the rules, and ``verdict`` is the
     first of them, or 'none', or 'unknown' when sentences are known but no rule
     matches. Null and empty texts give 0, '', '', 'none'; repeated rows give
-    repeated results; an empty table gives no rows; other columns are ignored.
+    repeated results; very long texts are searched whole; an empty table gives no
+    rows; other columns are ignored.
     """
     need(df, id_col, text_col)
     text = text_of(text_col)

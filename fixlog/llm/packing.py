@@ -74,8 +74,9 @@ def pack(df: DataFrame, tokenizer: str, *, end_id: int = 1, length: int = 2048,
     A row's ids are its text's by the tokenizer file ``tokenizer`` and then
     ``end_id``. Returns one row per piece: ``doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset``. Null and empty texts make a piece of the
-    end id alone; null ids and repeated rows are rows like any other; an empty
-    table gives no rows; other columns are ignored.
+    end id alone; null ids and repeated rows are rows like any other; very long
+    texts are cut into pieces of ``length`` ids; an empty table gives no rows;
+    other columns are ignored.
     """
     need(df, id_col, text_col)
 

@@ -76,7 +76,8 @@ def shard_by_bytes(df: DataFrame, shards: int = 40, *, id_col: str = "doc_id", t
     Returns ``doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard``
     (null under this law). ``size`` is the text's UTF-8 bytes plus ``overhead``.
     Null texts count as empty; a null id is a row like any other; repeated rows
-    each get a slot; an empty table gives no rows. Other columns are ignored.
+    each get a slot; a very long text can be a group above the even share, which
+    then is the capacity; an empty table gives no rows. Other columns are ignored.
     """
     need(df, id_col, text_col)
     text = text_of(text_col)

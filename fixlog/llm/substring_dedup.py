@@ -215,8 +215,8 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> D
     Strings are judged on the input, matches never cross documents, and a place
     in the same text counts as elsewhere. Null texts count as empty; null ids
     and repeated rows are rows like any other (so a text given twice, of
-    ``LENGTH`` bytes or more, is removed whole); an empty table gives no rows;
-    other columns are ignored.
+    ``LENGTH`` bytes or more, is removed whole); very long texts are read
+    whole, one at a time; an empty table gives no rows; other columns are ignored.
     """
     need(df, id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
