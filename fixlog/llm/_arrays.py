@@ -106,8 +106,6 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Texts]:
         j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
         yield Texts(buf[at[i] : at[j]], at[i : j + 1] - at[i], i)
         i = j
-    # a worker lives on through other stages: what earlier batches left goes back
-    pa.default_memory_pool().release_unused()
 
 
 LOWER = np.arange(256, dtype=np.uint8)
