@@ -7,16 +7,30 @@ packing. All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixlog.llm import chunk_dedup, decontaminate, jaccard_join, language_id, packing
-from fixlog.llm._util import cleaned_up, drop_new, scratch_path, standing, table
+from fixlog.llm._util import cleaned_up, drop_new, scratch_path, small_batches, standing, table
 from fixlog.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def in_small_batches(stage: Callable) -> Callable:
+    """``stage`` whose tables are made with Arrow batches of a few MB: executors run it beside all that earlier stages left in their memory."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with small_batches(spark):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def by_row(docs: DataFrame) -> DataFrame:
     """``docs`` with ``row_id``, by which stages judge, and ``own``: whether that is the id, as where one row has it.
 
@@ -30,6 +44,7 @@ def by_row(docs: DataFrame) -> DataFrame:
     return rows.withColumn("row_id", F.when(F.col("own"), F.col("doc_id")).otherwise(hashed)).select("row_id", "own", *COLUMNS)
 
 
+@in_small_batches
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows whose language isn't accepted, by ``row_id``: null and repeated ids stay with theirs. Columns stay as they are."""
     rows = by_row(docs)
@@ -37,6 +52,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.join(bad, "row_id", "left_anti").select(*COLUMNS)
 
 
+@in_small_batches
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row whose ``row_id`` names its component (word 5-grams, Jaccard of 0.8 or more), once.
 
@@ -50,6 +66,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.filter("own").select(*COLUMNS).unionByName(kept.filter("not own").dropDuplicates(["row_id"]).select(*COLUMNS))
 
 
+@in_small_batches
 def remove_repeated_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of the texts, also of rows with null or repeated ids; drops a row only if nothing but blanks is left of it."""
     left = chunk_dedup.dedup(by_row(docs), id_col="row_id", carry=["doc_id", "lang", "source", "n_chars"])
@@ -62,6 +79,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return decontaminate.clean(by_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row_id").select(*COLUMNS)
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of at most 2048 tokens."""
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"), end_id=1, length=2048)

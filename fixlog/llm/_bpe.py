@@ -19,10 +19,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 
-from ._arrays import BLANK, Texts, owner
+from ._arrays import BLANK, CACHES, Texts, owner
 
-#: Pieces a worker keeps before it starts anew: bounds its memory, not its results.
+#: Pieces a worker keeps before it lets those go that it met once: bounds its memory, not its results.
 KEPT_PIECES = 2_000_000
+#: Of them those that wait in a dictionary before they are sorted in.
+FRESH = 50_000
 _BIG = np.int32(2**31 - 1)
 
 
@@ -105,7 +107,8 @@ class Merges:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_PIECES):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -121,11 +124,44 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.fresh: dict[int, int] = {}
         self.n = 0
         self.ids, self.used = np.zeros(1 << 20, np.uint16 if self.size <= 1 << 16 else np.int32), 0
-        self.start, self.length = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
+        self.start, self.length, self.again = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), np.zeros(1 << 18, bool)
+
+    def thin(self) -> None:
+        """Keeps only the pieces met again since the last time; none if they'd fill half of the room."""
+        self._sort_in()
+        keep = self.again[self.slots]
+        keys, slots = self.keys[keep], self.slots[keep]
+        start, length = self.start[slots], self.length[slots]
+        before = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+        ids = self.ids[np.repeat(start - before[:-1], length) + np.arange(before[-1])]
+        self.reset()
+        if len(keys) <= min(self.kept, KEPT_PIECES) // 2:
+            self.slots = self._add(ids, before).astype(np.int32)
+            self.keys = keys
+
+    def _add(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """New slots for the pieces whose ids lie between ``bounds``."""
+        n, need = len(bounds) - 1, self.used + len(ids)
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(need - len(self.ids), len(self.ids) // 2), self.ids.dtype)])
+        self.ids[self.used : need] = ids
+        if self.n + n > len(self.start):
+            grow = max(n, len(self.start) // 2)
+            self.start, self.length, self.again = (np.concatenate([x, np.zeros(grow, x.dtype)]) for x in (self.start, self.length, self.again))
+        slots = np.arange(self.n, self.n + n)
+        self.start[slots], self.length[slots] = self.used + bounds[:-1], np.diff(bounds)
+        self.used, self.n = need, self.n + n
+        return slots
+
+    def _sort_in(self) -> None:
+        keys, slots = np.fromiter(self.fresh, np.uint64, len(self.fresh)), np.fromiter(self.fresh.values(), np.int32, len(self.fresh))
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.slots, self.fresh = np.insert(self.keys, at, keys[order]), np.insert(self.slots, at, slots[order]), {}
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -175,9 +211,10 @@ class Encoder:
         codes, unique = pd.factorize(t.prints(start, end)) if len(start) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         first = np.zeros(len(unique), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        if self.n + len(unique) > KEPT_PIECES:
-            self.reset()
+        if self.n + len(unique) > min(self.kept, KEPT_PIECES):
+            self.thin()
         slot = self._lookup(unique)
+        self.again[slot[slot >= 0]] = True
         new = np.flatnonzero(slot < 0)
         if len(new):
             slot[new] = self._learn(t, unique[new], start[first[new]], end[first[new]])
@@ -210,22 +247,10 @@ class Encoder:
         raw = t.buf.tobytes()
         pieces = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         ids, bounds = self._split(pieces)
-        need = self.used + len(ids)
-        if need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(need, len(self.ids)), self.ids.dtype)])
-        self.ids[self.used : need] = ids
-        if self.n + len(pieces) > len(self.start):
-            grow = max(len(pieces), len(self.start))
-            self.start, self.length = np.concatenate([self.start, np.zeros(grow, np.int64)]), np.concatenate([self.length, np.zeros(grow, np.int32)])
-        slots = np.arange(self.n, self.n + len(pieces))
-        self.start[slots], self.length[slots] = self.used + bounds[:-1], np.diff(bounds)
-        self.used, self.n = need, self.n + len(pieces)
+        slots = self._add(ids, bounds)
         self.fresh.update(zip(prints.tolist(), slots.tolist(), strict=True))
-        if len(self.fresh) > 200_000:
-            keys, vals = np.fromiter(self.fresh, np.uint64, len(self.fresh)), np.fromiter(self.fresh.values(), np.int64, len(self.fresh))
-            keys, vals = np.concatenate([self.keys, keys]), np.concatenate([self.slots, vals])
-            order = np.argsort(keys)
-            self.keys, self.slots, self.fresh = keys[order], vals[order], {}
+        if len(self.fresh) > FRESH:
+            self._sort_in()
         return slots
 
     def _split(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -268,9 +293,12 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    return Encoder(path)
+def encoder(path: str, kept: int = KEPT_PIECES) -> Encoder:
+    """One encoder per worker process and file, which keeps ``kept`` pieces at most."""
+    return Encoder(path, kept)
+
+
+CACHES.append(encoder.cache_clear)
 
 
 def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import BLANK, Texts, chunks
+from ._arrays import BLANK, Texts, chunks, tidy
 from ._util import Scratch, need
 
 #: Bytes under the rolling hash; a chunk has at least MIN and at most MAX bytes.
@@ -144,7 +144,7 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_
     # without columns to carry the struct is a constant
     carried = F.struct(*[F.col(c) for c in carry] or [F.lit(True).alias("none")])
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), carried.alias("carried"))
-    rows = s.table(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_chunk_rows, f"doc_id {kind}, d1 long, d2 long"), "chunks")
+    rows = s.table(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(tidy(_chunk_rows), f"doc_id {kind}, d1 long, d2 long"), "chunks")
     held = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).filter("holder < last")
     copies = rows.join(held.select("d1", "d2", "holder"), ["d1", "d2"]).filter("doc_id > holder").groupBy("doc_id").agg(F.collect_set(F.struct("d1", "d2")).alias("copies"))
     copies = s.table(copies, "copies")
@@ -162,5 +162,5 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_
                 texts = pa.array([x.decode("utf-8", "replace") for x in left], pa.string())
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(t.first, t.n), texts, *numbers, sha, batch["carried"].slice(t.first, t.n)], names=["doc_id", "text", "n_bytes", "n_chunks", "n_copies", "n_removed", "n_spans", "kept_sha256", "carried"])
 
-    out = marked.mapInArrow(run, fields)
+    out = marked.mapInArrow(tidy(run), fields)
     return out if carry else out.drop("carried")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import Texts, chunks
+from ._arrays import Texts, chunks, tidy
 from ._util import need, table
 
 BUCKETS = 1 << 16
@@ -100,7 +100,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, min_share: float = MIN_SHARE,
         limit = F.coalesce(F.try_element_at(limits, F.col("declared")), F.lit(0))
         sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(slots)) < limit).select("text", "declared")
         sums = np.zeros((len(index), BUCKETS))
-        counted = sample.mapInArrow(_counts(index), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        counted = sample.mapInArrow(tidy(_counts(index)), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
         sums[counted["lang"].to_numpy(), counted["bucket"].to_numpy()] = counted["n"].to_numpy()
         smooth = 0.02
         logs[:, :-1] = (np.log(sums + smooth) - np.log(sums.sum(1, keepdims=True) + smooth * BUCKETS)).T
@@ -152,7 +152,7 @@ def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str | Column =
     blank = lambda c: F.coalesce(as_col(c).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).alias("doc_id"), blank(text_col).alias("text"), F.nullif(F.lower(F.trim(as_col(declared_col).cast("string"))), F.lit("")).alias("declared"), blank(host_col).alias("host"), (blank(suffix_col) if suffix_col is not None else suffix_of(blank(host_col))).alias("suffix"))
     known, logs = train(docs, train_rows)
-    scored = table(docs.mapInArrow(_scored(logs, known), f"doc_id {kind}, declared string, host string, suffix string, scores array<double>, text_language string, n_trigrams long"), "scores")
+    scored = table(docs.mapInArrow(tidy(_scored(logs, known)), f"doc_id {kind}, declared string, host string, suffix string, scores array<double>, text_language string, n_trigrams long"), "scores")
 
     index = {lang: k for k, lang in enumerate(known)}
     n = len(known)

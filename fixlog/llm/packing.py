@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import chunks
+from ._arrays import chunks, give_back
 from ._bpe import encoder, with_end
 from ._util import need, table
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
+#: Bytes of text encoded at a time, and pieces that a worker keeps: both stand in its memory beside the tokenizer's tables.
+PART, KEPT = 1 << 18, 600_000
 
 
 class Rooms:
@@ -81,9 +83,10 @@ def pack(df: DataFrame, tokenizer: str, *, end_id: int = 1, length: int = 2048,
     need(df, id_col, text_col)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, KEPT)
         for batch in batches:
-            for t in chunks(batch["text"]):
+            give_back()
+            for t in chunks(batch["text"], PART):
                 ids, at = with_end(*enc.encode(t), end_id)
                 whole = np.diff(at)
                 count = -(-whole // length)
